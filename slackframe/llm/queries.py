@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
-from slackframe.llm import mixing
+from slackframe.llm import langid, mixing, tokenfiles
 from slackframe.llm.common import read_table
 
 ORACLE: dict[str, str] = {}
 
 
+def op3_rank_order_language(spark, sf_dir):
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
+def op4_word_aligned_token_files(spark, sf_dir):
+    return tokenfiles.round_trip(read_table(spark, sf_dir, "documents"))
+
+
 def op9_pivotal_mix(spark, sf_dir):
     return mixing.taken(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_pivotal_mix": op9_pivotal_mix}
+QUERIES = {
+    "op3_rank_order_language": op3_rank_order_language,
+    "op4_word_aligned_token_files": op4_word_aligned_token_files,
+    "op9_pivotal_mix": op9_pivotal_mix,
+}
