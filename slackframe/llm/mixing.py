@@ -117,7 +117,7 @@ def mix_sources(
     share: float = SHARE,
     most: float = MOST,
     seed: int = 17,
-    block_rows: int = 50_000,
+    block_rows: int = 5_000,
     fan_in: int = 64,
 ) -> DataFrame:
     """Copies of every row so that each source gives about its target number of words.
@@ -143,7 +143,7 @@ def mix_sources(
         .withColumn("nth", F.lit(0))
         .withColumn("copies", F.lit(None).cast("int"))
     )
-    order = ["source", "block", "id", "key", "size"]
+    order = ["source", "block", F.col("size").desc(), "id", "key"]  # large first, so that the survivor is small
     same = Window.partitionBy("source", "block", "id", "key").orderBy("size")
     rows, settled = rows.withColumn("nth", F.row_number().over(same).cast("int")), []
     while True:
