@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from slackframe.queries import state
+
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+for module in (state,):
+    QUERIES |= module.QUERIES
+    ORACLE |= module.ORACLE
