@@ -13,8 +13,13 @@ from pyspark.sql import functions as F
 
 from slackframe.operators.log import CELL, coalesce_updates
 
-_CELL = Window.partitionBy(*CELL).orderBy("clock", "client")
-_SO_FAR = _CELL.rowsBetween(Window.unboundedPreceding, 0)
+
+def _in_order():
+    return Window.partitionBy(*CELL).orderBy("clock", "client")
+
+
+def _so_far():
+    return _in_order().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def staged(updates: DataFrame) -> DataFrame:
@@ -37,7 +42,7 @@ def stepsize(sums: DataFrame, rate: float) -> DataFrame:
 
 def adagrad(sums: DataFrame, rate: float) -> DataFrame:
     g = F.when(F.col("initial"), 0.0).otherwise(F.col("value"))
-    steps = sums.withColumn("g", g).withColumn("acc", F.sum(F.col("g") * F.col("g")).over(_SO_FAR))
+    steps = sums.withColumn("g", g).withColumn("acc", F.sum(F.col("g") * F.col("g")).over(_so_far()))
     return _total(steps.withColumn("step", F.when(F.col("initial"), F.col("value")).otherwise(rate * F.col("g") / F.sqrt(F.col("acc") + 1))))
 
 
@@ -46,9 +51,9 @@ def adarevision(sums: DataFrame, rate: float) -> DataFrame:
     within = Window.partitionBy(*CELL, "clock").orderBy("client").rowsBetween(Window.unboundedPreceding, -1)
     g = F.when(F.col("initial"), 0.0).otherwise(F.col("value"))
     steps = sums.withColumn("g", g).withColumn("back", F.coalesce(F.sum("g").over(within), F.lit(0.0)))
-    steps = steps.withColumn("z", F.sum(F.col("g") * F.col("g") + 2 * F.col("g") * F.col("back")).over(_SO_FAR))
-    steps = steps.withColumn("most", F.greatest(F.lit(0.0), F.max("z").over(_SO_FAR)))
-    steps = steps.withColumn("before", F.coalesce(F.lag("most").over(_CELL), F.lit(0.0)))
+    steps = steps.withColumn("z", F.sum(F.col("g") * F.col("g") + 2 * F.col("g") * F.col("back")).over(_so_far()))
+    steps = steps.withColumn("most", F.greatest(F.lit(0.0), F.max("z").over(_so_far())))
+    steps = steps.withColumn("before", F.coalesce(F.lag("most").over(_in_order()), F.lit(0.0)))
     eta, old = rate / F.sqrt(F.col("most") + 1), rate / F.sqrt(F.col("before") + 1)
     move = eta * F.col("g") + (eta - old) * F.col("back")
     return _total(steps.withColumn("step", F.when(F.col("initial"), F.col("value")).otherwise(move)))
