@@ -1,13 +1,53 @@
-"""A corpus pipeline: language ID, near duplicates, decontamination, source mix, token files."""
+"""A corpus pipeline: language ID, near duplicates, decontamination, source mix, token files.
+
+Each stage is a function of (spark, docs, sf_dir). All but the last return the columns of documents;
+run() writes each stage's rows as Parquet in the shared folder and reads them again.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from slackframe.llm import decontaminate, jaccard, langid, mixing, tokenfiles
+from slackframe.llm.common import written
+
+
+def language_id(spark, docs, sf_dir):
+    """Documents whose language is recognised stay."""
+    return langid.keep_identified(docs)
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """One document of each group of similar ones stays, the one of the least id."""
+    return jaccard.one_of_each(docs)
+
+
+def decontamination(spark, docs, sf_dir):
+    """Documents that hold an item of the benchmark go."""
+    return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mix(spark, docs, sf_dir):
+    """Each document as often as the mix takes it: not at all, once or twice."""
+    return mixing.mixed_rows(docs)
+
+
+def token_files(spark, docs, sf_dir):
+    """Token files of all documents, read back: doc_id, start, n_tokens, ids_crc32."""
+    return tokenfiles.round_trip(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("source_mix", source_mix),
+    ("token_files", token_files),
+]
+#: SQL can't express the stages (crc32 folds, MinHash, a tokenizer's ids); tests hold run() against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,53 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
 import math
 import os
-import shutil
-import tempfile
-import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slackframe.storage import fresh_path, local_path, map_arrow, ship, written
+
+__all__ = ["binary_values", "blocks_for", "crc_mod", "fresh_path", "local_path", "map_arrow", "n_words", "read_table", "ship", "tokenizer_file", "written"]
+
 #: A word is a run of bytes other than ASCII white space. bytes.split() splits in the same places.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, from spark.checkpoint.dir; a temporary one in local mode only."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="slackframe-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/slackframe/{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def local_path(uri: str) -> str | None:
-    """The path of a file: URI, or None for other stores."""
-    if uri.startswith("file:"):
-        return "/" + uri[5:].lstrip("/")
-    return uri if uri.startswith("/") else None
-
-
 def crc_mod(col, m: int):
     """crc32 of a value as text, modulo m; null stays null."""
     return F.pmod(F.crc32(col.cast("string").cast("binary")), F.lit(m))
@@ -80,33 +48,3 @@ def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
     return os.fspath(public_tokenizers.path(name))
-
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    import slackframe
-
-    top = os.path.dirname(os.path.abspath(slackframe.__file__))
-    if os.path.isdir(top):
-        own = tempfile.mkdtemp(prefix="slackframe-code-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        with zipfile.ZipFile(f"{own}/slackframe_code.zip", "w") as z:
-            for folder, _, names in os.walk(top):
-                for name in sorted(names):
-                    if name.endswith(".py"):
-                        full = os.path.join(folder, name)
-                        z.write(full, os.path.relpath(full, os.path.dirname(top)))
-        sc.addPyFile(f"{own}/slackframe_code.zip")
-    _shipped.add(sc.applicationId)
-
-
-def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow(run, schema), with this package on the executors."""
-    ship(df.sparkSession)
-    return df.mapInArrow(run, schema)

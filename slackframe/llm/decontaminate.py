@@ -209,4 +209,4 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of docs in which no item of the benchmark is found."""
     found = leaks(docs, benchmark).select("id", "key").distinct()
-    return docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("id")) & (F.xxhash64(docs["text"]) == F.col("key")), "left_anti")
+    return docs.join(found.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("id")) & (F.xxhash64(docs["text"]) == F.col("key")), "left_anti")

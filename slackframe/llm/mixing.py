@@ -175,4 +175,4 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("id", "key").orderBy("source", F.col("copies").desc()))
     made = made.withColumn("nth", nth).where(F.col("copies") > 0).select("id", F.col("key").alias("k"), "nth", "copies")
     on = F.col(id_col).eqNullSafe(F.col("id")) & (F.col("_key") == F.col("k")) & (F.col("_nth") == F.col("nth"))
-    return mine.join(made, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return mine.join(made.hint("merge"), on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
