@@ -222,6 +222,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     dealt = (
         waiting.join(parts, "comp")
         .withColumn("block", F.pmod(F.xxhash64("cls"), F.col("g")).cast("int"))
+        .hint("merge")  # the candidates grow with the input, so they are never broadcast
         .join(texts, F.col("rep.id").eqNullSafe(F.col("id")) & (F.col("rep.key") == F.col("key")))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
         .select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cls", "copies", "block", "text")
@@ -251,5 +252,5 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The row of docs that stands for each class, with its columns; of repeated rows one stays."""
     heads = similar(docs).where(F.col("id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("first_key"))).select("id", "key").distinct()
     mine = docs.withColumn("_key", F.xxhash64("text"))
-    kept = mine.join(heads, F.col("doc_id").cast("long").eqNullSafe(F.col("id")) & (F.col("_key") == F.col("key")), "left_semi")
+    kept = mine.join(heads.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("id")) & (F.col("_key") == F.col("key")), "left_semi")
     return kept.dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
