@@ -19,6 +19,7 @@ own, so a reader can go to any id by its block. Files cover ascending ranges of
 
 from __future__ import annotations
 
+import array
 import json
 import os
 import struct
@@ -28,12 +29,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slackframe.llm.common import binary_values, fresh_path, local_path, map_arrow, tokenizer_file, written
+from slackframe.llm.common import fresh_path, local_path, map_arrow, tokenizer_file, written
 
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 ESCAPE = (1 << 60) - 1
 BLOCK = 65_536
+#: What may follow the letters of a word and is tokenised apart from them; no apostrophe, which starts contractions.
+PUNCTUATION = b".,!?;:%&*$#|"
 MAGIC = b"SF8B"
 _HEAD = struct.Struct("<4sIQQQQ")
 
@@ -50,15 +53,15 @@ def pack_block(ids: np.ndarray) -> np.ndarray:
     if not n:
         return np.zeros(0, np.uint64)
     choice = np.full(n, -1, np.int8)
-    for s in range(len(COUNTS)):
-        take, bits = int(COUNTS[s]), int(BITS[s])
+    wide = np.zeros(n + 1, np.int32)
+    for s in range(len(COUNTS) - 1, -1, -1):  # a later, denser selector replaces an earlier one
+        take = int(COUNTS[s])
         if take > n:
-            continue
-        wide = np.concatenate([[0], np.cumsum(ids >= (np.uint64(1) << np.uint64(bits)))])
-        if s == 15:
-            wide = np.concatenate([[0], np.cumsum(ids >= np.uint64(ESCAPE))])
-        free = np.flatnonzero((wide[take:] == wide[: n + 1 - take]) & (choice[: n + 1 - take] < 0))
-        choice[free] = s
+            break
+        np.cumsum(ids >= (np.uint64(ESCAPE) if s == 15 else np.uint64(1) << np.uint64(BITS[s])), dtype=np.int32, out=wide[1:])
+        if n - wide[n] < take:  # fewer narrow ids than a word takes: denser selectors can't do either
+            break
+        choice[: n + 1 - take][wide[take:] == wide[: n + 1 - take]] = s
     step = np.where(choice < 0, 1, COUNTS[choice]).tolist()
     starts, at = [], 0
     while at < n:
@@ -153,11 +156,13 @@ _library: dict = {}
 class Encoder:
     """Whole texts to ids with the tokenizers library, one distinct word at a time.
 
-    No token of this kind of vocabulary spans white space, so a text's ids are those of its words
-    in order; ids of words are remembered up to a bound.
+    No token of this kind of vocabulary spans white space, and a run of letters and a run of
+    punctuation after it are tokenised apart, so a text's ids are those of its words' parts in
+    order. Ids of words are remembered up to a bound. New words of letters go to the library joined
+    by spaces; as each ends in exactly one piece with the end-of-word mark, the ids are cut there.
     """
 
-    def __init__(self, spec: bytes, most: int = 400_000):
+    def __init__(self, spec: bytes, most: int = 900_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -165,20 +170,79 @@ class Encoder:
         if key not in _library:
             _memo.clear()
             _library.clear()
-            _library[key] = Tokenizer.from_str(spec.decode())
-        self.tokenizer, self.most = _library[key], most
+            tokenizer = Tokenizer.from_str(spec.decode())
+            suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+            ends = np.zeros(tokenizer.get_vocab_size(), bool)
+            if suffix:
+                ends[[i for piece, i in tokenizer.get_vocab().items() if piece.endswith(suffix)]] = True
+            _library[key] = tokenizer, ends
+        (self.tokenizer, self.ends), self.most = _library[key], most
+
+    def _each(self, words: list[bytes]) -> None:
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
+                _memo[word] = array.array("I", e.ids).tobytes()
+
+    def _joined(self, words: list[bytes]) -> None:
+        """Words of letters only."""
+        for at in range(0, len(words), 2_000):
+            part = words[at : at + 2_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part) or (len(ids) and cuts[-1] != len(ids)):
+                self._each(part)
+                continue
+            raw, low = ids.tobytes(), 0
+            for word, high in zip(part, (4 * cuts).tolist()):
+                _memo[word] = raw[low:high]
+                low = high
+
+    def _learn(self, new: set[bytes]) -> None:
+        tails = {w: w.rstrip(PUNCTUATION) for w in new}
+        plain = {w: core for w, core in tails.items() if core.isalpha() or (core and core.decode().isalpha())}
+        parts = {core for core in plain.values()}.difference(_memo)
+        self._joined(sorted(parts))
+        rest = {w[len(core) :] for w, core in plain.items() if len(core) < len(w)} | (new - plain.keys())
+        self._each(sorted(rest.difference(_memo)))
+        for w, core in plain.items():
+            if len(core) < len(w):
+                _memo[w] = _memo[core] + _memo[w[len(core) :]]
+
+    def __call__(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """An Arrow string array without nulls -> ids of all texts in order, and how many each has."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
         if len(_memo) > self.most:
             _memo.clear()
-        split = [t.split() for t in texts]
-        new = list({w for words in split for w in words}.difference(_memo))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                _memo[word] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([_memo[w] for w in words]) for words in split]
+        if self.ends.any():
+            # ASCII case is folded here, as the vocabulary's normaliser does, but not where a special token could appear
+            texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        kind = pa.large_binary() if pa.types.is_large_string(coded.dictionary.type) else pa.binary()
+        distinct = coded.dictionary.cast(kind).to_pylist()
+        found = list(map(_memo.get, distinct))
+        if None in found:
+            gaps = [i for i, x in enumerate(found) if x is None]
+            new = [distinct[i] for i in gaps]
+            if self.ends.any():
+                self._learn(set(new))
+            else:
+                self._each(new)
+            for i, w in zip(gaps, new):
+                found[i] = _memo[w]
+        pool = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        word = coded.indices.to_numpy()
+        length = sizes[word]
+        ends = np.cumsum(length)
+        shift = (np.cumsum(sizes) - sizes)[word] - (ends - length)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = pool[np.arange(total) + np.repeat(shift, length)]
+        at = np.append(0, ends)[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return ids, np.diff(at)
 
 
 def _write(spec, folder: str, end_id: int, file_ids: int):
@@ -190,31 +254,30 @@ def _write(spec, folder: str, end_id: int, file_ids: int):
 
         encoder, part = Encoder(spec.value), TaskContext.get().partitionId()
         store, top = _open_store(folder)
-        held: list[tuple[int, bytes]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size, number, made = 0, 0, []
 
         def flush():
             nonlocal held, size, number
-            doc_ids = np.array([d for d, _ in held], np.int64)
-            lengths = np.array([len(x) // 4 for _, x in held], np.int64)
-            ids = np.frombuffer(b"".join(x for _, x in held), "<u4")
+            doc_ids, lengths, ids = (np.concatenate(x) for x in zip(*held))
             name = f"part-{part:06d}-{number:06d}.s8b"
             hidden = f"{top}/.{name}.{TaskContext.get().taskAttemptId()}"
             with store.open_output_stream(hidden) as f:
                 f.write(encode_file(doc_ids, lengths, ids))
             store.move(hidden, f"{top}/{name}")  # a repeated task writes the same bytes
-            made.append({"part": part, "number": number, "name": name, "docs": len(held), "ids": len(ids)})
+            made.append({"part": part, "number": number, "name": name, "docs": len(doc_ids), "ids": len(ids)})
             held, size, number = [], 0, number + 1
 
-        end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), binary_values(batch.column(1))
-            for i in range(0, len(texts), 256):
-                for doc_id, ids in zip(doc_ids[i : i + 256], encoder(texts[i : i + 256])):
-                    held.append((doc_id if doc_id is not None else -(2**63), ids + end))
-                    size += len(ids) // 4 + 1
-                    if size >= file_ids:
-                        flush()
+        for whole in batches:
+            for low in range(0, whole.num_rows, 2000):
+                batch = whole.slice(low, 2000)
+                doc_ids = batch.column(0).fill_null(-(2**63)).to_numpy(zero_copy_only=False)
+                ids, lengths = encoder(batch.column(1))
+                ids = np.insert(ids, np.cumsum(lengths), end_id)
+                held.append((doc_ids, lengths + 1, ids))
+                size += len(ids)
+                if size >= file_ids:
+                    flush()
         if held:
             flush()
         if made:
@@ -275,7 +338,7 @@ def _read(folder: str, with_ids: bool):
 def read_token_files(manifest: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
     """Documents as the files have them: doc_id, start, n_tokens, ids_crc32, and ids if asked for."""
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    files = manifest.select("name", "start").repartition("name")
+    files = manifest.select("name", "start").repartition(max(1, manifest.count()))
     return map_arrow(files, _read(folder, with_ids), schema)
 
 
