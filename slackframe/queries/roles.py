@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 from slackframe.functions.special import unit
 
+def long_form(df: DataFrame, array: str, digits: int = 6) -> DataFrame:
+    """An array of numbers as rows (..., k, v)."""
+    rest = [c for c in df.columns if c != array]
+    return df.select(*rest, F.posexplode(array).alias("k", "v")).withColumn("v", F.round("v", digits))
+
+
 DAY0 = "2024-01-01"
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from slackframe.queries import state
+from slackframe.queries import files, maths, models, state
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for module in (state,):
+for module in (state, models, maths, files):
     QUERIES |= module.QUERIES
     ORACLE |= module.ORACLE
