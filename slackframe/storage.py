@@ -25,8 +25,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+_made: list[str] = []
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/slackframe/{tag}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/slackframe/{tag}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this session has written to the shared folder; results that still read it are void."""
+    jvm = spark.sparkContext._jvm
+    for path in _made:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _made.clear()
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:

@@ -151,3 +151,16 @@ def test_supersteps(spark):
     assert sorted(r.id for r in out.collect()) == [6, 7, 8]
     u = cell_updates(spark, [(0, 0, 1), (1, 0, 2), (2, 0, 4)])
     assert {r.clock: r.value for r in loop.history(u, 3).collect()} == {0: 1, 1: 3, 2: 7}
+
+
+def test_written_tables_are_released(spark):
+    import os
+
+    from slackframe import storage
+
+    t = storage.written(spark.range(5), "kept")
+    assert t.count() == 5
+    path = storage.local_path(storage._made[-1])
+    assert os.path.isdir(path)
+    storage.release(spark)
+    assert not os.path.exists(path)
