@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from slackframe.storage import fresh_path, local_path, map_arrow, ship, written
 
-__all__ = ["binary_values", "blocks_for", "crc_mod", "fresh_path", "local_path", "map_arrow", "n_words", "read_table", "ship", "tokenizer_file", "written"]
+__all__ = ["alone", "binary_values", "blocks_for", "crc_mod", "fresh_path", "local_path", "map_arrow", "n_words", "read_table", "ship", "tokenizer_file", "written"]
 
 #: A word is a run of bytes other than ASCII white space. bytes.split() splits in the same places.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,3 +48,14 @@ def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
     return os.fspath(public_tokenizers.path(name))
+
+
+_remembered: list = []
+
+
+def alone(*caches) -> None:
+    """Say at a task's start which caches it uses; those of other operators in this Python worker are emptied."""
+    for cache in _remembered:
+        if not any(cache is x for x in caches):
+            cache.clear()
+    _remembered[:] = caches

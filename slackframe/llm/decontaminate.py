@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slackframe.llm.common import binary_values, map_arrow, written
+from slackframe.llm.common import alone, binary_values, map_arrow, written
 
 WINDOW = 8
 #: Aligned windows that make a leak: 6 windows of 8 tokens are 13 tokens in a row. Shorter items need all of theirs.
@@ -101,7 +101,7 @@ def _window(forms: list[tuple[str, str]]) -> tuple[str, list[str]]:
 _LEXICON: list[Lexicon] = []
 
 
-def _lexicon(most: int = 400_000) -> Lexicon:
+def _lexicon(most: int = 200_000) -> Lexicon:
     if not _LEXICON or len(_LEXICON[0].forms) > most:
         _LEXICON[:] = [Lexicon()]
     return _LEXICON[0]
@@ -111,6 +111,7 @@ def _item_windows(batches):
     """(item, text) -> every template window of every item, by its place. The first word may stand within a sentence elsewhere."""
     import pyarrow as pa
 
+    alone(_LEXICON)
     for batch in batches:
         out = []
         for item, raw in zip(batch.column(0).to_pylist(), binary_values(batch.column(1))):
@@ -137,6 +138,7 @@ def _doc_windows(sieve, lengths):
         import pyarrow as pa
 
         schema = pa.schema([("hash", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("at", pa.int64()), ("template", pa.string()), ("slots", pa.list_(pa.string()))])
+        alone(_LEXICON)
         table = np.frombuffer(sieve.value, np.uint8)
         shift = np.uint64(64 - (len(table).bit_length() - 1))
         for batch in batches:
@@ -208,5 +210,5 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of docs in which no item of the benchmark is found."""
-    found = leaks(docs, benchmark).select("id", "key").distinct()
-    return docs.join(found.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("id")) & (F.xxhash64(docs["text"]) == F.col("key")), "left_anti")
+    found = leaks(docs, benchmark).select(F.col("id").alias("__sf_id"), F.col("key").alias("__sf_key")).distinct()
+    return docs.join(found.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__sf_id")) & (F.xxhash64(docs["text"]) == F.col("__sf_key")), "left_anti")

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slackframe.llm.common import binary_values, map_arrow, written
+from slackframe.llm.common import alone, binary_values, map_arrow, written
 from slackframe.llm.components import components
 
 GRAM = 5
@@ -54,7 +54,7 @@ _WORDS = _Hashes()
 
 def gram_set(raw: bytes, n: int = GRAM) -> np.ndarray:
     """Sorted distinct hashes of a text's word n-grams; a shorter text with a word is one gram, no word is none."""
-    if len(_WORDS) > 500_000:
+    if len(_WORDS) > 400_000:
         _WORDS.clear()
     words = raw.split()
     h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
@@ -89,6 +89,7 @@ def _sign(n: int, bands: int, rows: int):
         import pyarrow as pa
         import xxhash
 
+        alone(_WORDS)
         scale, shift = _family(bands * rows)
         names = ["id", "key", "cls", "n", "bands"]
         for batch in batches:
@@ -176,6 +177,7 @@ def _link(n: int, threshold: float):
     def run(batches):
         import pyarrow as pa
 
+        alone(_WORDS)
         schema = pa.schema([("cls", pa.binary()), ("links", pa.int64()), ("root", pa.binary())])
         group, rows = None, []
         for batch in batches:
@@ -250,7 +252,8 @@ def report(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The row of docs that stands for each class, with its columns; of repeated rows one stays."""
-    heads = similar(docs).where(F.col("id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("first_key"))).select("id", "key").distinct()
-    mine = docs.withColumn("_key", F.xxhash64("text"))
-    kept = mine.join(heads.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("id")) & (F.col("_key") == F.col("key")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
+    heads = similar(docs).where(F.col("id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("first_key")))
+    heads = heads.select(F.col("id").alias("__sf_id"), F.col("key").alias("__sf_key")).distinct()
+    mine = docs.withColumn("__sf_text", F.xxhash64("text"))
+    kept = mine.join(heads.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__sf_id")) & (F.col("__sf_text") == F.col("__sf_key")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__sf_text"]).select(*docs.columns)

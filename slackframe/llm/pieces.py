@@ -15,7 +15,7 @@ from collections import deque
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slackframe.llm.common import binary_values, map_arrow, tokenizer_file
+from slackframe.llm.common import alone, binary_values, map_arrow, tokenizer_file
 
 #: The byte that ends a word in the vocabulary; white space, so no word holds it.
 END = 0x20
@@ -111,6 +111,7 @@ def _counting(pieces, most: int):
     def run(batches):
         import pyarrow as pa
 
+        alone(_known)
         vocabulary = pieces.value
         key = zlib.crc32(b"\0".join(vocabulary))
         if key not in _known:

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slackframe.llm.common import fresh_path, local_path, map_arrow, tokenizer_file, written
+from slackframe.llm.common import alone, fresh_path, local_path, map_arrow, tokenizer_file, written
 
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
@@ -162,9 +162,10 @@ class Encoder:
     by spaces; as each ends in exactly one piece with the end-of-word mark, the ids are cut there.
     """
 
-    def __init__(self, spec: bytes, most: int = 900_000):
+    def __init__(self, spec: bytes, most: int = 700_000):
         from tokenizers import Tokenizer
 
+        alone(_memo, _library)
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         key = zlib.crc32(spec)
         if key not in _library:
