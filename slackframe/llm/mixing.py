@@ -170,9 +170,9 @@ def taken(docs: DataFrame, **options) -> DataFrame:
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of docs, each as often as the mix takes it. Identical rows are told apart by a running number."""
     made = mix_sources(docs, id_col=id_col, **options)
-    key = F.xxhash64("text")
-    mine = docs.withColumn("_key", key).withColumn("_nth", F.row_number().over(Window.partitionBy(id_col, "_key").orderBy(F.col("source"))))
+    mine = docs.withColumn("__sf_text", F.xxhash64("text"))
+    mine = mine.withColumn("__sf_nth", F.row_number().over(Window.partitionBy(id_col, "__sf_text").orderBy("source")))
     nth = F.row_number().over(Window.partitionBy("id", "key").orderBy("source", F.col("copies").desc()))
-    made = made.withColumn("nth", nth).where(F.col("copies") > 0).select("id", F.col("key").alias("k"), "nth", "copies")
-    on = F.col(id_col).eqNullSafe(F.col("id")) & (F.col("_key") == F.col("k")) & (F.col("_nth") == F.col("nth"))
-    return mine.join(made.hint("merge"), on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    made = made.withColumn("__sf_n", nth).where(F.col("copies") > 0).select(F.col("id").alias("__sf_id"), F.col("key").alias("__sf_key"), "__sf_n", F.col("copies").alias("__sf_copies"))
+    on = F.col(id_col).eqNullSafe(F.col("__sf_id")) & (F.col("__sf_text") == F.col("__sf_key")) & (F.col("__sf_nth") == F.col("__sf_n"))
+    return mine.join(made.hint("merge"), on).withColumn("__sf_copy", F.explode(F.sequence(F.lit(1), F.col("__sf_copies")))).select(*docs.columns)

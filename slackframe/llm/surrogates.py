@@ -38,6 +38,8 @@ PATTERNS = (
     ("secret", r"(?i:(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key) ?[=:] ?[\"']?)[^\s\"']{6,}+"),
     ("key", r"(?<![\w-])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}+|sk-[A-Za-z0-9_-]{20,}+|xox[abp]-[A-Za-z0-9-]{10,}+)(?![\w])"),
     ("iban", r"(?<![\w])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\w])"),
+    ("mac", r"(?<![\w:-])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![\w:-])"),
+    ("ipv6", r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])"),
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"),
     ("number", r"(?<![\d.,])(?:\d{3}-\d{2}-\d{4}|\d(?:[ -]?\d){12,18})(?![\d]|-\d)"),
     ("phone", r"(?<![\d.,])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\d]|[.-]\d)"),
@@ -59,7 +61,7 @@ def _code(digest: Column, i) -> Column:
 
 def _alike(value: Column, digest: Column) -> Column:
     """Every letter or digit replaced by one of its kind, case and script; hexadecimal stays so."""
-    hexadecimal = value.rlike("^[0-9a-fA-F]+$")
+    hexadecimal = value.rlike("^[0-9a-fA-F:-]+$")
     one = lambda letters, v: F.lit(letters).substr((F.pmod(v, F.lit(len(letters))) + 1).cast("int"), F.lit(1))
     sets = (
         ("[0-9]", "0123456789"), ("[a-z]", None), ("[A-Z]", None),
@@ -119,19 +121,21 @@ def _drawn(key: str) -> Column:
     kind, canon = F.col("type"), F.col("canon")
     digest = F.sha2(F.concat_ws("\u001f", F.lit(key), kind, canon, F.col("attempt").cast("string")), 256)
     octet = lambda k, most, least: (F.pmod(F.conv(digest.substr(F.lit(1 + 6 * k), F.lit(6)), 16, 10).cast("long"), F.lit(most)) + least).cast("string")
+    # where values are so short that the free ones run out, names grow
+    longer = F.translate(digest, "0123456789", "ghijklmnop").substr(F.lit(1), F.greatest(F.col("attempt") - 7, F.lit(0)))
     fresh = _digits(canon, digest)
     due = F.pmod(_check_sum(canon) - _check_sum(F.concat(fresh.substr(F.lit(1), F.length(fresh) - 1), F.lit("0"))), F.lit(10))
     return (
         F.when(kind == "ip", F.concat_ws(".", octet(0, 223, 1), octet(1, 256, 0), octet(2, 256, 0), octet(3, 254, 1)))
         .when(kind == "number", F.concat(fresh.substr(F.lit(1), F.length(fresh) - 1), due.cast("string")))
         .when(kind == "phone", fresh)
-        .when(kind == "domain", F.concat(_alike(F.regexp_extract(canon, r"^(.*)\.[^.]*$", 1), digest), F.regexp_extract(canon, r"(\.[^.]*)$", 1)))
+        .when(kind == "domain", F.concat(longer, _alike(F.regexp_extract(canon, r"^(.*)\.[^.]*$", 1), digest), F.regexp_extract(canon, r"(\.[^.]*)$", 1)))
         .when(kind == "iban", F.concat(canon.substr(F.lit(1), F.lit(2)), _alike(canon.substr(F.lit(3), F.length(canon) - 2), digest)))
         .when(kind == "key", F.concat(F.regexp_extract(canon, r"^(AKIA|gh\w_|sk-|xox\w-)", 1), _alike(F.regexp_replace(canon, r"^(?:AKIA|gh\w_|sk-|xox\w-)", ""), digest)))
         .when(kind == "surname", _surname(canon, digest))
         .when(kind == "given_m", F.when(canon.rlike(r"\p{IsCyrillic}"), _given(GIVEN_MC, digest)).otherwise(_given(GIVEN_M, digest)))
         .when(kind == "given_f", F.when(canon.rlike(r"\p{IsCyrillic}"), _given(GIVEN_FC, digest)).otherwise(_given(GIVEN_F, digest)))
-        .otherwise(_alike(canon, digest))
+        .otherwise(F.concat(_alike(canon, digest), longer))
     )
 
 
@@ -184,7 +188,8 @@ def assigned(components: DataFrame, key: str, rounds: int = 40) -> DataFrame:
     """Distinct (type, canon) -> type, canon, surrogate: one to one within a type, and never a real value.
 
     In each round the open components draw; of those with one surrogate the earliest round and then
-    the least value keeps it, if it is no real value; the others draw again.
+    the least value keeps it, if it is no real value; the others draw again. Names grow when values of
+    their length run out; numbers don't, and it is an error if there are too few of a length.
     """
     todo = components.withColumn("attempt", F.lit(0))
     done = None
