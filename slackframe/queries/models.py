@@ -141,12 +141,22 @@ def mf04(spark, sf):
     return rounded(mf.shapes(ratings(spark, sf)), "lambda_l", "lambda_r", digits=9)
 
 
-@query("mf05")
+_FOLD = f"""{_FACTORS}, lam AS (SELECT 0.01 / (total / n) AS ll, 0.01 / (total / m) AS lr FROM n),
+ lv AS (SELECT i, list(l ORDER BY k)::DOUBLE[] AS vec FROM l GROUP BY i), rv AS (SELECT j, list(r ORDER BY k)::DOUBLE[] AS r FROM r GROUP BY j),
+ e AS (SELECT i, j, x, r, row_number() OVER (PARTITION BY i ORDER BY j) AS nth FROM ratings JOIN rv USING (j)),
+ fold AS (SELECT i, 0::BIGINT AS nth, NULL::BIGINT AS j, vec, list_transform(vec, lambda v: 0.0::DOUBLE) AS acc, NULL::DOUBLE[] AS move FROM lv UNION ALL
+  SELECT i, nth, j, list_transform(vec, lambda v, k: v + CASE WHEN acc[k] + g[k] ** 2 > 0 THEN 0.03 * g[k] / sqrt(acc[k] + g[k] ** 2) ELSE 0 END),
+    list_transform(acc, lambda a, k: a + g[k] ** 2), list_transform(r, lambda v, k: -(2 * d * vec[k] + lr * v))
+  FROM (SELECT i, nth, j, r, vec, acc, d, lr, list_transform(vec, lambda v, k: -(2 * d * r[k] + ll * v)) AS g
+    FROM (SELECT e.i, e.nth, e.j, e.r, f.vec, f.acc, list_dot_product(f.vec, e.r) - e.x AS d, ll, lr FROM fold f JOIN e ON e.i = f.i AND e.nth = f.nth + 1, lam)))"""
+
+
+@query("mf05", f"WITH RECURSIVE {_FOLD} SELECT i, unnest(range(0, {RANK}))::INT AS k, unnest(list_transform(v, lambda x: round(x, 6))) AS v FROM (SELECT i, arg_max(vec, nth) AS v FROM fold GROUP BY i)")
 def mf05(spark, sf):
     rows = _factors(spark, sf)
     lam = mf.shapes(rows[0]).first()
     e = mf.epoch(*rows, RANK, 0.03, lam.lambda_l, lam.lambda_r)
-    return e.where("j is null").select("i", F.transform("vec", lambda v: F.round(v, 6)).alias("vec"))
+    return long_form(e.where("j is null").select("i", "vec"), "vec")
 
 
 @query("mf06", f"WITH {_MOVES} SELECT j, k, round(sum(move_r), 6) AS value FROM g GROUP BY j, k")
@@ -160,7 +170,7 @@ def mf07(spark, sf):
     return rows.groupBy((F.col("i") % 4).cast("int").alias("client")).agg(F.round(F.sum("loss"), 6).alias("loss"), F.count("*").alias("n"))
 
 
-@query("mf08")
+@query("mf08", f"WITH RECURSIVE {_FOLD}, mv AS (SELECT j, unnest(range(0, {RANK}))::INT AS k, unnest(move) AS v FROM fold WHERE j IS NOT NULL) SELECT j, k, round(sum(v), 6) AS value FROM mv GROUP BY j, k")
 def mf08(spark, sf):
     rows = _factors(spark, sf)
     lam = mf.shapes(rows[0]).first()

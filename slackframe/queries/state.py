@@ -230,7 +230,14 @@ def vi06(spark, sf):
     return access.hash_placement(ops(spark, sf).select("tab", "rid").distinct(), 2, 2)
 
 
-@query("vi07")
+@query("vi07", f"""WITH RECURSIVE {OPS}, {_CLIENT}, f AS (SELECT client, tab, rid, num_read + num_write AS freq, max(num_read + num_write) OVER (PARTITION BY tab, rid) AS top FROM n),
+  k AS (SELECT tab, rid, any_value(top) AS freq, list(client ORDER BY client) AS cs, (rid % 8 // 2)::INT AS server, (rid % 2)::INT AS channel FROM f WHERE freq = top GROUP BY tab, rid),
+  s AS (SELECT *, row_number() OVER (PARTITION BY server, channel ORDER BY tab, rid) AS nth FROM k),
+  p AS (SELECT server, channel, 0::BIGINT AS nth, NULL::BIGINT AS tab, NULL::BIGINT AS rid, NULL::BIGINT AS freq, NULL::INT AS machine, [0, 0, 0, 0]::BIGINT[] AS loads FROM s GROUP BY server, channel UNION ALL
+    SELECT server, channel, nth, tab, rid, freq, best, list_transform(loads, lambda l, i: l + CASE WHEN i = best + 1 THEN freq ELSE 0 END)
+    FROM (SELECT s.server, s.channel, s.nth, s.tab, s.rid, s.freq, p.loads, (list_min(list_transform(cs, lambda c: p.loads[c + 1] * 100 + c)) % 100)::INT AS best
+      FROM p JOIN s ON s.server = p.server AND s.channel = p.channel AND s.nth = p.nth + 1))
+  SELECT tab, rid, channel, machine, freq FROM p WHERE nth > 0""")
 def vi07(spark, sf):
     return access.locality_placement(ops(spark, sf), 4, 2)
 
@@ -305,6 +312,8 @@ def st01(spark, sf):
     return loop.client_stats(ops(spark, sf))
 
 
-@query("st02")
+@query("st02", f"""WITH {UPDATES}, s AS (SELECT clock, client, tab, rid, (rid % 2)::INT AS server FROM updates GROUP BY ALL),
+  m AS (SELECT clock, client, server, count(*) AS n FROM s GROUP BY ALL)
+  SELECT server, count(*) AS messages, sum(n)::BIGINT AS rows, (sum(n) * (SELECT count(DISTINCT cid) FROM updates) * 8)::BIGINT AS bytes FROM m GROUP BY server""")
 def st02(spark, sf):
     return loop.server_stats(updates(spark, sf), 2)
