@@ -247,9 +247,22 @@ def lr06_batch(spark, sf):
     return mlr.batch_deltas(mlr.predicted(vectors(spark, sf), weights(spark)), 0.1).select("label", "k", F.round("value", 6).alias("value"))
 
 
-@query("lr06")
+_SGD = f"""{VECTORS}, {WEIGHTS}, ex AS (SELECT id % 8 AS worker, x, label, row_number() OVER (PARTITION BY id % 8 ORDER BY id) AS nth FROM vectors),
+ w0 AS (SELECT list(w::DOUBLE[] ORDER BY label) AS w FROM weights),
+ fold AS (SELECT worker, 0::BIGINT AS nth, w FROM (SELECT DISTINCT worker FROM ex), w0 UNION ALL
+  SELECT worker, nth, list_transform(w, lambda r, l: list_transform(r, lambda v, k: v - 0.1 * (p[l] - (l - 1 = label)::INT) * x[k]))
+  FROM (SELECT worker, nth, w, x, label, list_transform(e, lambda v: v / list_sum(e)) AS p
+    FROM (SELECT worker, nth, w, x, label, list_transform(s, lambda v: exp(v - list_max(s))) AS e
+      FROM (SELECT f.worker, ex.nth, f.w, ex.x, ex.label, list_transform(f.w, lambda r: list_dot_product(r, ex.x)) AS s
+        FROM fold f JOIN ex ON ex.worker = f.worker AND ex.nth = f.nth + 1)))),
+ last AS (SELECT worker, arg_max(w, nth) AS w FROM fold GROUP BY worker), per AS (SELECT worker, unnest(range(0, 10))::INT AS label, unnest(w) AS r FROM last)"""
+
+
+@query("lr06", f"""WITH RECURSIVE {_SGD}, c AS (SELECT worker, label, unnest(range(0, 64))::INT AS k, unnest(r) AS v FROM per)
+  SELECT worker, c.label, k, round(v - weights.w[k + 1], 6) + 0.0 AS v FROM c JOIN weights ON weights.label = c.label""")
 def lr06(spark, sf):
-    return mlr.sgd_epoch(vectors(spark, sf), weights(spark), F.col("id") % 8, 0.1)
+    d = long_form(mlr.sgd_epoch(vectors(spark, sf), weights(spark), F.col("id") % 8, 0.1), "delta")
+    return d.withColumn("v", F.col("v") + 0.0)
 
 
 @query("lr10", f"WITH {_DELTAS} SELECT round(sum(value), 6) AS total_change FROM dl")
