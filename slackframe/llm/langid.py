@@ -24,7 +24,7 @@ UNKNOWN = "und"
 
 _OTHER = re.compile(r"[\W\d_]+")
 _ASCII = bytes(c if 97 <= c <= 122 else 32 for c in range(256))
-_CHUNK = 4 << 20
+_CHUNK = 1 << 20
 
 
 def normalised(raw: bytes) -> bytes:
