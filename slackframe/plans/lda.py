@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from slackframe.functions.special import ln_gamma
+from slackframe.storage import written
 
 
 def statistics(tokens: DataFrame, topics: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -19,9 +20,7 @@ def statistics(tokens: DataFrame, topics: int) -> tuple[DataFrame, DataFrame, Da
 
 def statistics_in_one_pass(tokens: DataFrame) -> DataFrame:
     """The same as one table by grouping sets: level 0 (doc, z), 1 (word, z), 2 z."""
-    level = F.grouping_id("doc", "word")
     out = tokens.groupingSets([["doc", "z"], ["word", "z"], ["z"]], "doc", "word", "z").agg(F.count("*").alias("n"), F.grouping("doc").alias("gd"), F.grouping("word").alias("gw"))
-    del level
     return out.select("doc", "word", "z", F.when(F.col("gd") == 0, 0).when(F.col("gw") == 0, 1).otherwise(2).alias("level"), "n")
 
 
@@ -43,6 +42,7 @@ def word_given_topic(word_counts: DataFrame, sums: Column, vocabulary: int, lam:
 
 def posteriors(tokens: DataFrame, topics: int, vocabulary: int, alpha: float, lam: float, prior_only: bool = False) -> DataFrame:
     """Every token with its unnormalised topic weights; its own topic stays in the counts."""
+    tokens = written(tokens, "tokens")  # read four times below
     by_doc, by_word, by_topic = statistics(tokens, topics)
     theta = dense(by_doc, "doc", topics).withColumnRenamed("c", "theta")
     rows = tokens.join(theta, "doc")
