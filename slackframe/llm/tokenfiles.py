@@ -234,6 +234,10 @@ class Encoder:
                 self._each(new)
             for i, w in zip(gaps, new):
                 found[i] = _memo[w]
+            for w in new:
+                if len(w) > 256:  # too long to be met again
+                    _memo.pop(w, None)
+                    _memo.pop(w.rstrip(PUNCTUATION), None)
         pool = np.frombuffer(b"".join(found), "<u4")
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         word = coded.indices.to_numpy()
