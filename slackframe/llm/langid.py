@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slackframe.llm.common import binary_values, crc_mod, map_arrow
+from slackframe.llm.common import alone, binary_values, crc_mod, map_arrow
 
 LONGEST = 3
 PROFILE = 400
@@ -68,6 +68,7 @@ def _count(batches):
     """(lang, text) batches -> (lang, code, n), summed over the task."""
     import pyarrow as pa
 
+    alone()
     sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
     def add(lang, text):
@@ -139,6 +140,7 @@ def _judge(profiles, k, at, drop, names):
     def run(batches):
         import pyarrow as pa
 
+        alone()
         judge = Judge(profiles.value, k)
         for batch in batches:
             said = [judge(x) for x in binary_values(batch.column(at))]
