@@ -397,6 +397,31 @@ def test_spelling_is_a_distribution():
     assert 0.2 < p[:6].sum() <= 1 and p[6] < p[:6].min() and p[7] < 1e-20
 
 
+def test_learned_weights_beat_the_starting_ones(sample):
+    """In bits over words that aren't in training."""
+    import types
+
+    import pyarrow as pa
+
+    rows = [(r.doc_id, (r.text or "").encode().lower().split()) for r in sample.collect()]
+    train = sorted({w for i, t in rows for w in t if zlib.crc32(str(i).encode()) % 5 != 1})
+    fresh = sorted({w for _, t in rows for w in t if len(w) < 64} - set(train))
+    code = mixlm.huffman(np.bincount(np.frombuffer(b" ".join([*train, b""]), np.uint8), minlength=256))
+    pairs = np.zeros(int(mixlm.OFFSETS[-1]), np.complex64)
+    for part in mixlm._slices(train):
+        d = mixlm.Decisions(part, code)
+        for k in range(mixlm.K):
+            np.add.at(pairs, d.slots[k], 1j * d.bit + (1 - d.bit))
+    value = lambda x: types.SimpleNamespace(value=x)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(train), np.int64)), pa.array(train, pa.binary())], ["block", "word"])
+    (made,) = next(iter(mixlm._learn_weights(value(code), value(pairs.tobytes()))(iter([batch])))).to_pylist()
+    learned = (np.array(made["weights"]) / made["n"]).reshape(mixlm.GATES, -1).astype(np.float32)
+    middle = np.tile(mixlm._squash(np.arange(mixlm.BUCKETS) / (mixlm.BUCKETS - 1) * 16 - 8), (256, 1))
+    bits = lambda w: -mixlm.Speller(code, *mixlm.prepared(pairs), w, middle)(fresh).sum() * math.log2(10)
+    assert len(fresh) > 100
+    assert bits(learned) < bits(mixlm._starting_weights())
+
+
 def test_copies_are_followed():
     h = np.arange(1, 200, dtype=np.uint64)
     right, cost = mixlm.follow(h, h)
