@@ -432,6 +432,25 @@ def test_copies_are_followed():
     assert not right.any()
 
 
+def test_copies_find_their_source(spark):
+    """Short texts, a passage in a longer text, and a text whose grams are shared with other training documents."""
+    rng = random.Random(5)
+    fresh = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+    short = [fresh(8) for _ in range(30)]
+    passage, line, own = fresh(16), fresh(20), [fresh(30) for _ in range(5)]
+    train = [*short, f"{fresh(200)} {passage} {fresh(200)}", *[f"{line} {x}" for x in own]]
+    asked = [*short, f"{fresh(150)} {passage} {fresh(150)}", f"{line} {own[2]} {fresh(4)}"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate([*train, *asked])], "doc_id long, text string")
+    words = [(i, np.array([zlib.crc32(w.encode()) for w in t.split()], np.uint64)) for i, t in enumerate([*train, *asked])]
+    rows = [(int(g), i, i, i < len(train)) for i, h in words for g in mixlm._least(mixlm._grams(h, 5), mixlm.ANCHOR_WINDOW).view(np.int64)]
+    got = {r.id: r.s_id for r in mixlm.sources(spark.createDataFrame(rows, "gram long, id long, key long, train boolean")).collect()}
+    first = len(train)
+    assert [got.get(first + k) for k in range(30)] == list(range(30))
+    assert got.get(first + 30) == 30 and got.get(first + 31) == 33
+    scored = {r.id: r for r in mixlm.score(d, F.col("doc_id") < first).collect()}
+    assert all(scored[first + k].score > scored[k].score + 5 for k in range(30))  # the training text itself has no other to copy
+
+
 def test_scores_of_copies_and_repeats(spark, sample):
     """A held-out copy of a training text scores far above one that isn't."""
     rng = random.Random(2)
