@@ -126,8 +126,7 @@ def _item_windows(batches):
                 hashes = window_hashes(np.array([_hashed(t) for t, _ in each], np.uint64), n)
                 for at in range(len(hashes) if v == 0 else 1):
                     template, slots = _window(each[at : at + n])
-                    if 2 * len(slots) <= n:  # else mostly placeholders
-                        out.append({"hash": int(hashes[at].astype(np.int64)), "n": n, "item": item, "at": at, "of": len(rows) - n + 1, "template": template, "slots": slots})
+                    out.append({"hash": int(hashes[at].astype(np.int64)), "n": n, "item": item, "at": at, "of": len(rows) - n + 1, "template": template, "slots": slots})
         yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("hash", pa.int64()), ("n", pa.int32()), ("item", pa.int64()), ("at", pa.int64()), ("of", pa.int64()), ("template", pa.string()), ("slots", pa.list_(pa.string()))]))
 
 
@@ -174,8 +173,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     Each pair once, with its best alignment. A leak has ENOUGH aligned windows (or all, of a shorter
     item) with equal templates and placeholder values that map one to one; reworded says that some
-    value differs. Repeated rows of one id and text count as one document; null texts and items
-    hold nothing; items under SHORTEST words are never found. An empty table gives no pair.
+    value differs. Windows of which more than half the tokens are placeholders need equal values.
+    Repeated rows of one id and text count as one document; null texts and items hold nothing; items under SHORTEST words are never found. An empty table gives no pair.
     """
     rows = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("text is not null").distinct()
     items = written(map_arrow(rows, _item_windows, "hash long, n int, item long, at long, of long, template string, slots array<string>"), "items")
@@ -183,8 +182,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     sieve = docs.sparkSession.sparkContext.broadcast(_sieve(items, bits))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")).where("text is not null")
     found = map_arrow(texts, _doc_windows(sieve, lengths), "hash long, id long, key long, at long, template string, slots array<string>")
-    b = items.select("hash", "item", "template", "of", F.col("at").alias("b_at"), F.col("slots").alias("b_slots"))
-    pairs = found.join(b, ["hash", "template"]).withColumn("shift", F.col("at") - F.col("b_at"))
+    # mostly placeholders: the values have to agree as well
+    values = F.when(2 * F.size("slots") > F.size(F.split("template", " ")), F.array_join("slots", " ")).otherwise("")
+    b = items.select("hash", "item", "template", "of", values.alias("values"), F.col("at").alias("b_at"), F.col("slots").alias("b_slots"))
+    pairs = found.withColumn("values", values).join(b, ["hash", "template", "values"]).withColumn("shift", F.col("at") - F.col("b_at"))
     both = F.transform(F.arrays_zip(F.col("b_slots").alias("b"), F.col("slots").alias("d")), lambda x: F.struct(x["b"].alias("b"), x["d"].alias("d")))
     runs = (
         pairs.groupBy("id", "key", "item", "of", "shift")

@@ -615,6 +615,16 @@ def test_leaks_find_every_whole_item(spark, sample):
         assert any(tuple(text[k : k + 8]) in eight[item] for k in range(len(text)))
 
 
+def test_leaks_of_items_that_are_mostly_placeholders(spark):
+    items = ["Compute 12 7 3 4 2 9 5", "Who directed The Lord Of The Rings Trilogy", "add 3 4 5 6 7 then say which of these is the largest"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    others = ["Compute 13 8 2 6 1 4 9", "Who directed The Best Of The Worst Movies"]
+    texts = [*[f"{FILL}. {x} {FILL}" for x in items], *[f"{FILL}. {x} {FILL}" for x in others]]
+    got = {(r.id, r.item): r for r in decontaminate.leaks(docs_of(spark, texts), bench).collect()}
+    assert set(got) == {(0, 0), (1, 1), (2, 2)}
+    assert all(r.coverage == 1 and not r.reworded for r in got.values())
+
+
 def test_leaks_awkward(awkward, empty, spark):
     bench = spark.createDataFrame([*ITEMS, (9, "the cat sat on the mat and the dog")], "item_id long, text string")
     got = decontaminate.leaks(awkward, bench).collect()
