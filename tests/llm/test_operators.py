@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from slackframe.llm import decontaminate, jaccard, langid, linededup, mixing, mixlm, pieces, quality, surrogates, tokenfiles
+from slackframe.llm import decontaminate, jaccard, langid, linededup, mixing, pieces, quality, surrogates, tokenfiles
 from slackframe.llm.common import tokenizer_file
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -367,114 +367,6 @@ def test_bands_reach_the_recall():
     assert 1 - (1 - 0.8**r) ** b >= 0.999 and b * r <= jaccard.MOST_HASHES
 
 
-# --- language model
-
-
-def test_base_score_equals_plain_python(sample):
-    rows = [(r.doc_id, (r.text or "").encode().lower().split()) for r in sample.collect()]
-    train = [w for i, w in rows if zlib.crc32(str(i).encode()) % 5 != 1]
-    counts = collections.Counter(w for t in train for w in t)
-    n, v = sum(counts.values()) + len(train), len(counts) + 1
-    for r in mixlm.report(sample).collect():
-        words = dict(rows)[r.doc_id]
-        each = [*(counts[w] for w in words), len(train)]
-        assert r.n_tokens == len(each) and r.n_known == sum(c > 0 for c in each) and r.train_tokens == n
-        assert abs(r.base_score - sum(math.log10((c + 0.5) / (n + 0.5 * (v + 1))) for c in each)) < 1e-6
-        assert r.score < 0 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 1)
-
-
-def test_spelling_is_a_distribution():
-    """Over all words of up to two bytes of a small alphabet, probabilities don't exceed 1 and come near it when spelt so in training."""
-    words = [bytes(x) for n in (1, 2) for x in itertools.product(b"ab", repeat=n)]
-    code = mixlm.huffman(np.bincount(np.frombuffer(b" ".join([*words, b""]), np.uint8), minlength=256))
-    d = mixlm.Decisions(words, code)
-    pairs = np.zeros(int(mixlm.OFFSETS[-1]), np.complex64)
-    for k in range(mixlm.K):
-        np.add.at(pairs, d.slots[k], 1j * d.bit + (1 - d.bit))
-    middle = mixlm._squash(np.arange(mixlm.BUCKETS) / (mixlm.BUCKETS - 1) * 16 - 8)
-    spell = mixlm.Speller(code, *mixlm.prepared(pairs), mixlm._starting_weights(), np.tile(middle, (256, 1)))
-    p = 10 ** spell([*words, b"zz", b"a" * 300])
-    assert 0.2 < p[:6].sum() <= 1 and p[6] < p[:6].min() and p[7] < 1e-20
-
-
-def test_learned_weights_beat_the_starting_ones(sample):
-    """In bits over words that aren't in training."""
-    import types
-
-    import pyarrow as pa
-
-    rows = [(r.doc_id, (r.text or "").encode().lower().split()) for r in sample.collect()]
-    train = sorted({w for i, t in rows for w in t if zlib.crc32(str(i).encode()) % 5 != 1})
-    fresh = sorted({w for _, t in rows for w in t if len(w) < 64} - set(train))
-    code = mixlm.huffman(np.bincount(np.frombuffer(b" ".join([*train, b""]), np.uint8), minlength=256))
-    pairs = np.zeros(int(mixlm.OFFSETS[-1]), np.complex64)
-    for part in mixlm._slices(train):
-        d = mixlm.Decisions(part, code)
-        for k in range(mixlm.K):
-            np.add.at(pairs, d.slots[k], 1j * d.bit + (1 - d.bit))
-    value = lambda x: types.SimpleNamespace(value=x)
-    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(train), np.int64)), pa.array(train, pa.binary())], ["block", "word"])
-    (made,) = next(iter(mixlm._learn_weights(value(code), value(pairs.tobytes()))(iter([batch])))).to_pylist()
-    learned = (np.array(made["weights"]) / made["n"]).reshape(mixlm.GATES, -1).astype(np.float32)
-    middle = np.tile(mixlm._squash(np.arange(mixlm.BUCKETS) / (mixlm.BUCKETS - 1) * 16 - 8), (256, 1))
-    bits = lambda w: -mixlm.Speller(code, *mixlm.prepared(pairs), w, middle)(fresh).sum() * math.log2(10)
-    assert len(fresh) > 100
-    assert bits(learned) < bits(mixlm._starting_weights())
-
-
-def test_copies_are_followed():
-    h = np.arange(1, 200, dtype=np.uint64)
-    right, cost = mixlm.follow(h, h)
-    assert right[3:].all() and not right[:3].any() and cost > -5
-    right, cost = mixlm.follow(np.concatenate([h, h]), None)
-    assert right[:199].sum() == 0 and right[199:].sum() > 190
-    right, _ = mixlm.follow(np.random.default_rng(1).integers(0, 2**60, 300).astype(np.uint64), h)
-    assert not right.any()
-
-
-def test_copies_find_their_source(spark):
-    """Short texts, a passage in a longer text, and a text whose grams are shared with other training documents."""
-    rng = random.Random(5)
-    fresh = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
-    short = [fresh(8) for _ in range(30)]
-    passage, line, own = fresh(16), fresh(20), [fresh(30) for _ in range(5)]
-    train = [*short, f"{fresh(200)} {passage} {fresh(200)}", *[f"{line} {x}" for x in own]]
-    asked = [*short, f"{fresh(150)} {passage} {fresh(150)}", f"{line} {own[2]} {fresh(4)}"]
-    d = spark.createDataFrame([(i, t) for i, t in enumerate([*train, *asked])], "doc_id long, text string")
-    words = [(i, np.array([zlib.crc32(w.encode()) for w in t.split()], np.uint64)) for i, t in enumerate([*train, *asked])]
-    rows = [(int(g), i, i, i < len(train)) for i, h in words for g in mixlm._least(mixlm._grams(h, 5), mixlm.ANCHOR_WINDOW).view(np.int64)]
-    got = {r.id: r.s_id for r in mixlm.sources(spark.createDataFrame(rows, "gram long, id long, key long, train boolean")).collect()}
-    first = len(train)
-    assert [got.get(first + k) for k in range(30)] == list(range(30))
-    assert got.get(first + 30) == 30 and got.get(first + 31) == 33
-    scored = {r.id: r for r in mixlm.score(d, F.col("doc_id") < first).collect()}
-    assert all(scored[first + k].score > scored[k].score + 5 for k in range(30))  # the training text itself has no other to copy
-
-
-def test_scores_of_copies_and_repeats(spark, sample):
-    """A held-out copy of a training text scores far above one that isn't."""
-    rng = random.Random(2)
-    fresh = lambda: " ".join("".join(rng.choice(["th", "er", "on", "in", "ou"]) for _ in range(rng.randint(1, 4))) for _ in range(80))
-    first = fresh()
-    d = spark.createDataFrame([(1, first), (2, fresh()), (3, first), (4, fresh()), (5, "\n".join(["one line is here again"] * 40))], "doc_id long, text string")
-    got = {r.id: r for r in mixlm.score(d, F.col("doc_id").isin(1, 2)).collect()}
-    assert got[3].score > 0.3 * got[4].score and got[3].score > got[3].base_score
-    assert got[5].score > 0.5 * got[5].base_score
-
-
-def test_scores_awkward(awkward, empty, spark):
-    got = mixlm.report(awkward).collect()
-    assert len(got) == awkward.count() and all(r.score <= 0 and math.isfinite(r.score) for r in got)
-    by = collections.defaultdict(list)
-    for r in got:
-        by[r.doc_id].append(r)
-    assert by[1][0].n_tokens == by[2][0].n_tokens == 1
-    assert abs(by[4][0].score - by[4][1].score) < 1e-9 or len({r.n_tokens for r in by[4]}) == 2
-    assert mixlm.report(empty).count() == 0
-    alone = mixlm.score(docs_of(spark, ["some text"]), F.lit(False)).collect()
-    assert alone[0].n_known == 0 and alone[0].train_tokens == 0 and math.isfinite(alone[0].score)
-
-
 # --- quality
 
 
