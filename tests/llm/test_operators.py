@@ -62,19 +62,19 @@ def plain_line_dedup(rows):
     chunks = []
     for i, t in rows:
         lines = t.split("\n")
-        h = [int(__import__("hashlib").md5(x.encode()).hexdigest()[:8], 16) for x in lines]
-        low, nth = 0, 0
-        for k in range(len(lines)):
-            r = sum(h[k - w] * 31**w % 2**32 for w in range(3) if k - w >= 0) % 2**32
-            if r % 4 == 0 or k == len(lines) - 1:
-                part = lines[low : k + 1]
-                chunks.append((i, nth, part))
-                low, nth = k + 1, nth + 1
+        full = [k for k, x in enumerate(lines) if x.encode().split()]
+        h = [int(__import__("hashlib").md5(lines[k].encode()).hexdigest()[:8], 16) for k in full]
+        r = [(h[j] + (h[j - 1] * 31 % 2**32 if j else 0)) % 2**32 for j in range(len(h))]
+        ends = [j for j in range(1, len(r) - 2) if r[j] < r[j - 1] and r[j] < r[j + 1]]
+        cuts = [0, *(full[j + 1] for j in ends), len(lines)]
+        assert len(full) < 2 or all(sum(low <= k < high for k in full) >= 2 for low, high in zip(cuts, cuts[1:]))
+        chunks += [(i, nth, lines[low:high], len(full) >= 2) for nth, (low, high) in enumerate(zip(cuts, cuts[1:]))]
     first, out = {}, collections.defaultdict(list)
-    for i, _nth, part in sorted(chunks, key=lambda c: c[:2]):
+    for i, _nth, part, counts in sorted(chunks, key=lambda c: c[:2]):
         key = "\n".join(part)
-        seen = sum(bool(x.split()) for x in part) >= 2 and key in first
-        first.setdefault(key, 1)
+        seen = counts and key in first
+        if counts:
+            first.setdefault(key, 1)
         if not seen:
             out[i] += part
     return {i: "\n".join(out[i]) for i, _ in rows}
@@ -86,6 +86,14 @@ def test_line_dedup_equals_plain_python(spark, sample):
     assert got == plain_line_dedup(rows)
 
 
+def test_line_dedup_empties_copies(spark):
+    """Exact copies of texts of any number of lines, blank ones among them."""
+    rng = random.Random(9)
+    bodies = ["\n".join(rng.choice(["", " ", f"line {rng.random()}", f"another {rng.random()}"]) for _ in range(n)) + f"\nend {n}\nof it" for n in range(40)]
+    got = {r.id: r for r in linededup.dedup_lines(docs_of(spark, bodies + bodies)).collect()}
+    assert all(got[k].n_removed_lines == 0 and got[40 + k].text == "" for k in range(40))
+
+
 def test_line_dedup_resists_shifts(spark):
     rng = random.Random(3)
     body = [f"line {rng.random()} of the common part" for _ in range(60)]
