@@ -4,7 +4,9 @@ Numbers, names and units become typed placeholders, so a question with other num
 the same template. Windows of template tokens of the benchmark and of the documents meet in a hash
 join; templates are then compared as text, and the values that stand in the placeholders must map
 one to one between question and document. A document is reported with every item of which enough
-aligned windows agree.
+aligned windows agree. An item needs only its rarest windows to be proposed: where k of its n windows
+have to agree, one of any n - k + 1 of them does, so what many items share proposes none of them.
+Items of a few words are found where a whole line of a document is that item.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slackframe.llm.common import alone, binary_values, map_arrow, written
@@ -20,8 +22,9 @@ from slackframe.llm.common import alone, binary_values, map_arrow, written
 WINDOW = 8
 #: Aligned windows that make a leak: 6 windows of 8 tokens are 13 tokens in a row. Shorter items need all of theirs.
 ENOUGH = 6
-#: Items of fewer tokens say too little to be searched for.
+#: Items of fewer tokens say too little to be searched for within a text; a line has to equal them.
 SHORTEST = 5
+_LINE = "\n"
 
 # Words that stand for a placeholder.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen"
@@ -98,6 +101,15 @@ def _window(forms: list[tuple[str, str]]) -> tuple[str, list[str]]:
     return " ".join(t for t, _ in forms), [f"{t}={v}" for t, v in forms if v]
 
 
+def _plain(forms: list[tuple]) -> str:
+    """A whole line as text: its tokens as they stand in a sentence, numbers and names with their values."""
+    return _LINE + " ".join(v if t.startswith("<") else t for _, _, t, v, _ in forms)
+
+
+def _signed(text: str) -> int:
+    return int(np.uint64(_hashed(text)).astype(np.int64))
+
+
 _LEXICON: list[Lexicon] = []
 
 
@@ -119,6 +131,9 @@ def _item_windows(batches):
             rows, _, inner = lex.read(raw)
             n = min(WINDOW, len(rows))
             if n < SHORTEST:
+                if n:
+                    line = _plain([lex.forms[r] for r in rows])
+                    out.append({"hash": _signed(line), "n": 0, "item": item, "at": 0, "of": 1, "template": line, "slots": []})
                 continue
             forms = [lex.forms[r][2:4] if i else lex.forms[r][:2] for r, i in zip(rows, inner)]
             variants = [forms] + ([[lex.forms[rows[0]][2:4], *forms[1:]]] if lex.forms[rows[0]][:2] != lex.forms[rows[0]][2:4] else [])
@@ -146,6 +161,13 @@ def _doc_windows(sieve, lengths):
                 lex = _lexicon()
                 rows, tokens, inner = lex.read(raw)
                 for n in lengths:
+                    if not n:
+                        for line in {x for x in raw.split(b"\n") if 0 < len(x.split(None, SHORTEST)) < SHORTEST}:
+                            line = _plain([lex.forms[lex[w]] for w in line.split()])
+                            h = _signed(line)
+                            if table[np.uint64(h & 0xFFFFFFFFFFFFFFFF) >> shift]:
+                                out.append({"hash": h, "id": id_, "key": key, "at": 0, "template": line, "slots": []})
+                        continue
                     hashes = window_hashes(tokens, n)
                     for at in np.flatnonzero(table[hashes >> shift]):
                         forms = [lex.forms[r][2:4] if i else lex.forms[r][:2] for r, i in zip(rows[at : at + n], inner[at : at + n])]
@@ -171,10 +193,13 @@ def _sieve(items: DataFrame, bits: int) -> bytes:
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", bits: int = 22) -> DataFrame:
     """Pairs of a document and an item found in it: id, key, item, n_windows, of, coverage, n_slots, reworded.
 
-    Each pair once, with its best alignment. A leak has ENOUGH aligned windows (or all, of a shorter
-    item) with equal templates and placeholder values that map one to one; reworded says that some
-    value differs. Windows of which more than half the tokens are placeholders need equal values.
-    Repeated rows of one id and text count as one document; null texts and items hold nothing; items under SHORTEST words are never found. An empty table gives no pair.
+    Each pair once, with its best alignment; of equal ones the one that isn't reworded, then the one
+    of more slots. A leak has ENOUGH aligned windows (or all, of a shorter item) with equal templates
+    and placeholder values that map one to one; reworded says that some value differs. Windows of
+    which more than half the tokens are placeholders need equal values. Items under SHORTEST words
+    are found as whole lines, values and all. Texts and items are read whole. Repeated rows of one id
+    and text count as one document; null and blank texts and items hold nothing. An empty table gives
+    no pair. Only id and text are read, so other columns can't clash.
     """
     rows = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("text is not null").distinct()
     items = written(map_arrow(rows, _item_windows, "hash long, n int, item long, at long, of long, template string, slots array<string>"), "items")
@@ -184,8 +209,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     found = map_arrow(texts, _doc_windows(sieve, lengths), "hash long, id long, key long, at long, template string, slots array<string>")
     # mostly placeholders: the values have to agree as well
     values = F.when(2 * F.size("slots") > F.size(F.split("template", " ")), F.array_join("slots", " ")).otherwise("")
+    found = written(found.withColumn("values", values), "windows")
+    window = ["hash", "template", "values"]
     b = items.select("hash", "item", "template", "of", values.alias("values"), F.col("at").alias("b_at"), F.col("slots").alias("b_slots"))
-    pairs = found.withColumn("values", values).join(b, ["hash", "template", "values"]).withColumn("shift", F.col("at") - F.col("b_at"))
+    enough = F.least(F.lit(ENOUGH), F.col("of"))
+    shared = b.groupBy(*window).agg(F.count("*").alias("freq"))
+    rarest = Window.partitionBy("item", "of").orderBy("freq", "b_at", "hash")
+    # the first window may have two forms, so one place more than needed
+    probes = b.join(shared, window).withColumn("nth", F.row_number().over(rarest)).where(F.col("nth") <= F.col("of") - enough + 2)
+    proposed = found.join(probes.select(*window, "item", "of", "b_at"), window).select("id", "key", "item", "of", (F.col("at") - F.col("b_at")).alias("shift")).distinct()
+    due = proposed.join(b, ["item", "of"]).withColumn("at", F.col("b_at") + F.col("shift"))
+    mine = found.select(F.col("id").alias("i"), F.col("key").alias("k"), F.col("at").alias("a"), *[F.col(c).alias(f"d_{c}") for c in window], "slots")
+    same = F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k")) & (F.col("at") == F.col("a"))
+    for c in window:
+        same = same & (F.col(c) == F.col(f"d_{c}"))
+    pairs = due.join(mine, same)
     both = F.transform(F.arrays_zip(F.col("b_slots").alias("b"), F.col("slots").alias("d")), lambda x: F.struct(x["b"].alias("b"), x["d"].alias("d")))
     runs = (
         pairs.groupBy("id", "key", "item", "of", "shift")
@@ -210,6 +248,10 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows of docs in which no item of the benchmark is found."""
+    """Rows of docs in which no item of the benchmark is found, with their columns as they were.
+
+    Null and blank texts stay, repeated rows stay or go together, and an empty table stays one; an
+    empty benchmark drops nothing. Columns of docs may have any names but __sf_id and __sf_key.
+    """
     found = leaks(docs, benchmark).select(F.col("id").alias("__sf_id"), F.col("key").alias("__sf_key")).distinct()
     return docs.join(found.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__sf_id")) & (F.xxhash64(docs["text"]) == F.col("__sf_key")), "left_anti")

@@ -3,14 +3,14 @@
 A profile is the list of a language's most frequent n-grams in order of frequency. A document gets
 its own list, and every language is charged, for each of the document's n-grams, the distance
 between the two ranks (the profile's length where the n-gram is missing). The smallest sum wins.
-N-grams are of 1 to 3 UTF-8 bytes of the lower-cased text with every run of non-letters as one space.
+N-grams are of 1 to 3 UTF-8 bytes of the lower-cased text with every run of other characters than
+letters and the marks that go with them as one space.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +22,7 @@ PROFILE = 400
 #: What is said of a text without a letter.
 UNKNOWN = "und"
 
-_OTHER = re.compile(r"[\W\d_]+")
+_OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 _ASCII = bytes(c if 97 <= c <= 122 else 32 for c in range(256))
 _CHUNK = 1 << 20
 
@@ -38,13 +38,21 @@ def normalised(raw: bytes) -> bytes:
     return b" " + text + b" " if text else b""
 
 
-def grams(text: bytes) -> np.ndarray:
-    """Codes of all n-grams of 1 to LONGEST bytes. Bytes are never 0, so lengths don't mix."""
+def grams(text: bytes, seen: int = 0) -> np.ndarray:
+    """Codes of all n-grams of 1 to LONGEST bytes that end after the first seen bytes.
+
+    Texts are joined by zero bytes, which no text holds; n-grams with one are left out, so lengths
+    don't mix.
+    """
     b = np.frombuffer(text, np.uint8).astype(np.uint32)
-    out, code = [b], b
-    for n in range(2, LONGEST + 1):
-        code = (code[:-1] << np.uint32(8)) | b[n - 1 :]
-        out.append(code)
+    full = b > 0 if b"\0" in text else None
+    out, code, whole = [], b, full
+    for n in range(1, LONGEST + 1):
+        if n > 1:
+            code = (code[:-1] << np.uint32(8)) | b[n - 1 :]
+            whole = whole[:-1] & full[n - 1 :] if full is not None else None
+        new = max(0, seen - n + 1)
+        out.append(code[new:] if whole is None else code[new:][whole[new:]])
     return np.concatenate(out)
 
 
@@ -59,9 +67,10 @@ def ranked(text: bytes, k: int = PROFILE) -> np.ndarray:
 
 
 def _pieces(text: bytes):
-    """A long text in parts that overlap so that every n-gram is counted once, shorter ones at the seam aside."""
+    """A text in parts that overlap by LONGEST - 1 bytes, each with the number of bytes seen before, so that every n-gram is counted once."""
     for at in range(0, len(text), _CHUNK):
-        yield text[at : at + _CHUNK]
+        seen = min(at, LONGEST - 1)
+        yield text[at - seen : at + _CHUNK], seen
 
 
 def _count(batches):
@@ -72,8 +81,8 @@ def _count(batches):
     sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
     def add(lang, text):
-        for part in _pieces(text):
-            codes, counts = np.unique(grams(part), return_counts=True)
+        for part, seen in _pieces(text):
+            codes, counts = np.unique(grams(part, seen), return_counts=True)
             if lang in sums:
                 old, had = sums[lang]
                 codes, back = np.unique(np.concatenate([old, codes]), return_inverse=True)
@@ -89,10 +98,10 @@ def _count(batches):
             waiting.setdefault(lang, []).append(text)
             held[lang] = held.get(lang, 0) + len(text)
             if held[lang] > _CHUNK:
-                add(lang, b"".join(waiting.pop(lang)))
+                add(lang, b"\0".join(waiting.pop(lang)))
                 held.pop(lang)
         for lang, texts in waiting.items():
-            add(lang, b"".join(texts))
+            add(lang, b"\0".join(texts))
     for lang, (codes, counts) in sums.items():
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes.astype(np.int64)), pa.array(counts.astype(np.int64))], ["lang", "code", "n"])
 
@@ -100,7 +109,9 @@ def _count(batches):
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", k: int = PROFILE) -> list[tuple[str, list[int]]]:
     """Profiles from all rows with a language: [(language, n-gram codes by rank)], k codes for each.
 
-    Counts cover every row given. The result has k numbers for each distinct language.
+    Counts cover every row given, whole texts, and don't depend on how rows are dealt. The result has
+    k numbers for each distinct language; ties between n-grams go to the lesser code. Rows without a
+    language or a text teach nothing; without rows there are no languages.
     """
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     counts = map_arrow(rows, _count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
@@ -154,9 +165,11 @@ def predict(docs: DataFrame, profiles, keep: list, text_col: str = "text", k: in
     """The columns of keep with the language and the score of every row, under names.
 
     Null, empty and letterless texts give 'und' and score 0. score is 1 less the winner's distance
-    as a share of the largest possible one. Rows are judged one by one, so repeated rows agree.
+    as a share of the largest possible one. Rows are judged one by one and whole, however long, so
+    repeated rows agree; ties go to the first language by name. An empty table gives an empty table.
+    names are added to the columns of keep and must differ from them.
     """
-    extra = [] if text_col in [x for x in keep if isinstance(x, str)] else [F.col(text_col).alias("_text")]
+    extra = [] if text_col in [x for x in keep if isinstance(x, str)] else [F.col(text_col).alias("__sf_text")]
     rows = docs.select(*keep, *extra)
     at = len(rows.columns) - 1 if extra else rows.columns.index(text_col)
     schema = T.StructType([*rows.schema.fields[: len(rows.columns) - len(extra)], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
@@ -170,13 +183,21 @@ def held_out(id_col) -> F.col:
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, with profiles from the documents that aren't held out."""
+    """doc_id, held_out, lang_pred, score, with profiles from the documents that aren't held out.
+
+    A row with a null id isn't held out. Nulls, ties and repeated rows are as predict() and fit() say.
+    """
     profiles = fit(docs.where(~held_out(F.col("doc_id"))))
     return predict(docs, profiles, ["doc_id", held_out(F.col("doc_id")).alias("held_out")])
 
 
 def keep_identified(docs: DataFrame, least: float = 0.25) -> DataFrame:
-    """Rows whose language is known with at least this score, with their columns as they were."""
+    """Rows whose language is known with at least this score, with their columns as they were.
+
+    Null, empty and letterless texts go; a null lang or id is no reason to. Repeated rows stay or go
+    together, and an empty table stays one. The judgement's helper columns begin with __sf_, which no
+    column of docs may.
+    """
     profiles = fit(docs.where(~held_out(F.col("doc_id"))))
-    judged = predict(docs, profiles, docs.columns, names=("_lang", "_score"))
-    return judged.where((F.col("_lang") != UNKNOWN) & (F.col("_score") >= least)).select(*docs.columns)
+    judged = predict(docs, profiles, docs.columns, names=("__sf_lang", "__sf_score"))
+    return judged.where((F.col("__sf_lang") != UNKNOWN) & (F.col("__sf_score") >= least)).select(*docs.columns)

@@ -2,8 +2,9 @@
 
 Each document is measured and judged by document rules. Failures are counted per host; a host's
 failure rate is shrunk towards the corpus with a beta prior fitted to the hosts by the method of
-moments, so a host of few documents isn't condemned by one of them. Documents of a host whose
-shrunk rate is over the limit are dropped with it.
+moments, so a host of few documents isn't condemned by one of them. A host fails if its posterior
+rate, less two standard deviations, is over a limit that follows the corpus: the rate whose odds are
+three times those of all documents. Documents of a host that fails are dropped with it.
 """
 
 from __future__ import annotations
@@ -22,14 +23,14 @@ RUN = 8
 class Limits:
     """Rules: at least least_words words; at most repeat_percent of the words in repeated windows.
 
-    host_rate is the shrunk failure rate over which a host fails; prior_strength is the weight of
-    the prior, in documents, where all hosts fail alike and the moments give none.
+    A host fails if it is sure, by this many standard deviations of its posterior failure rate, to
+    fail with odds over host_odds times those of the whole corpus.
     """
 
     least_words: int = 20
     repeat_percent: int = 30
-    host_rate: float = 0.5
-    prior_strength: float = 100.0
+    host_odds: float = 3.0
+    deviations: float = 2.0
 
 
 def words_of(text: Column) -> Column:
@@ -79,18 +80,27 @@ def failed(limits: Limits) -> Column:
 
 
 def host_verdicts(judged: DataFrame, limits: Limits) -> DataFrame:
-    """(host, base_failed) -> host, host_docs, host_failed, host_rate (shrunk), host_bad. Null hosts get no verdict."""
+    """(host, base_failed) -> host, host_docs, host_failed, host_rate (shrunk), host_bad. Null hosts get no verdict.
+
+    Where the hosts' rates spread no more than chance alone would have it, nothing tells hosts apart,
+    and the prior weighs as much as all documents.
+    """
     hosts = judged.where("host is not null").groupBy("host").agg(F.count("*").alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_failed"))
     hosts = written(hosts, "hosts")
     rate = F.col("host_failed") / F.col("host_docs")
-    one = hosts.agg((F.sum("host_failed") / F.sum("host_docs")).alias("mean"), F.var_samp(rate).alias("spread"), F.avg(1 / F.col("host_docs")).alias("thin")).first()
-    mean, strength = one.mean or 0.0, limits.prior_strength
+    one = hosts.agg(
+        (F.sum("host_failed") / F.sum("host_docs")).alias("mean"), F.var_samp(rate).alias("spread"), F.avg(1 / F.col("host_docs")).alias("thin"), F.sum("host_docs").alias("docs")
+    ).first()
+    mean, strength = one.mean or 0.0, float(one.docs or 1)
     noise = mean * (1 - mean) * (one.thin or 0.0)  # what chance alone adds to the spread of the rates
     between = (one.spread or 0.0) - noise
     if between > 1e-12 and 0 < mean < 1:
         strength = max(1.0, mean * (1 - mean) / between - 1)
-    shrunk = (F.col("host_failed") + F.lit(mean * strength)) / (F.col("host_docs") + F.lit(strength))
-    return hosts.select("host", "host_docs", "host_failed", shrunk.alias("host_rate"), (shrunk > limits.host_rate).alias("host_bad"))
+    weight = F.col("host_docs") + F.lit(strength)
+    shrunk = (F.col("host_failed") + F.lit(mean * strength)) / weight
+    least = shrunk - limits.deviations * F.sqrt(shrunk * (1 - shrunk) / (weight + 1))
+    limit = limits.host_odds * mean / (1 + (limits.host_odds - 1) * mean)
+    return hosts.select("host", "host_docs", "host_failed", shrunk.alias("host_rate"), ((least > limit) & F.lit(0 < mean < 1)).alias("host_bad"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, limits: Limits = Limits()) -> DataFrame:
@@ -98,7 +108,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host:
 
     A row is kept if it passes the document rules and its host isn't bad. Null and empty texts have
     no words and fail; a null host is judged by its documents alone (host_rate null). Repeated rows
-    are judged one by one and agree; an empty table gives an empty table.
+    are judged one by one and agree; an empty table gives an empty table. A text is measured whole,
+    however long, in one row. id, host, text alone are read, so other columns can't clash.
     """
     rows = written(measured(docs, id_col, text_col, host).withColumn("base_failed", failed(limits)), "measures")
     verdicts = host_verdicts(rows.select("host", "base_failed"), limits).select("host", "host_rate", "host_bad")
@@ -132,10 +143,11 @@ m AS (SELECT doc_id, host, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+'))::BIGI
       FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN cov USING (doc_id)),
 f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
 h AS (SELECT host, count(*) AS n, sum(base_failed::BIGINT)::DOUBLE AS bad FROM f WHERE host IS NOT NULL GROUP BY host),
-s AS (SELECT sum(bad) / sum(n) AS mean, coalesce(var_samp(bad / n), 0) AS spread, avg(1.0 / n) AS thin FROM h),
-p AS (SELECT mean, CASE WHEN spread - mean * (1 - mean) * thin > 1e-12 AND mean > 0 AND mean < 1
-      THEN greatest(1.0, mean * (1 - mean) / (spread - mean * (1 - mean) * thin) - 1) ELSE 100.0 END AS strength FROM s),
-v AS (SELECT host, (bad + mean * strength) / (n + strength) > 0.5 AS host_bad FROM h, p)
+s AS (SELECT sum(bad) / sum(n) AS mean, coalesce(var_samp(bad / n), 0) AS spread, avg(1.0 / n) AS thin, sum(n) AS docs FROM h),
+p AS (SELECT mean, 3 * mean / (1 + 2 * mean) AS lim, CASE WHEN spread - mean * (1 - mean) * thin > 1e-12 AND mean > 0 AND mean < 1
+      THEN greatest(1.0, mean * (1 - mean) / (spread - mean * (1 - mean) * thin) - 1) ELSE docs END AS strength FROM s),
+r AS (SELECT host, (bad + mean * strength) / (n + strength) AS rate, n + strength AS weight, lim, mean FROM h, p),
+v AS (SELECT host, rate - 2 * sqrt(rate * (1 - rate) / (weight + 1)) > lim AND mean > 0 AND mean < 1 AS host_bad FROM r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT coalesce(host_bad, false) AS kept
 FROM f LEFT JOIN v USING (host)

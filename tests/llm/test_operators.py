@@ -42,7 +42,7 @@ def awkward(spark):
         (7, "12345 !!! ###", "fr", None, 10),
         (None, "a text whose id is null but which has words all the same", "de", "b", 1),
     ]
-    return spark.createDataFrame(rows, SCHEMA).withColumns({"id": F.lit(1), "key": F.lit("k"), "word": F.lit("w"), "score": F.lit(0.5), "copies": F.lit(9), "cls": F.lit("c"), "host": F.lit("h")})
+    return spark.createDataFrame(rows, SCHEMA).withColumns({"id": F.lit(1), "key": F.lit("k"), "word": F.lit("w"), "score": F.lit(0.5), "copies": F.lit(9), "cls": F.lit("c"), "host": F.lit("h"), "_lang": F.lit("x"), "_score": F.lit(0), "_text": F.lit("t")})
 
 
 @pytest.fixture(scope="session")
@@ -208,6 +208,23 @@ def test_language_awkward(awkward, empty):
     assert langid.identify(empty).count() == 0
     kept = langid.keep_identified(awkward)
     assert kept.columns == awkward.columns and {r.doc_id for r in kept.collect()}.isdisjoint({1, 2, 3, 7})
+    assert langid.keep_identified(empty).count() == 0
+
+
+def test_language_counts_every_gram_once(monkeypatch, spark):
+    """Over the seams of long texts, and not from one text to the next; marks stay with their letters."""
+    monkeypatch.setattr(langid, "_CHUNK", 7)
+    texts = ["abc defgh ij klmnopqrs", "hello", "", "naïve हिन्दी भाषा", "1 2 3"]
+    want = collections.Counter()
+    for t in texts:
+        n = langid.normalised(t.encode())
+        want.update(n[i : i + k] for k in (1, 2, 3) for i in range(len(n) - k + 1))
+    import pyarrow as pa
+
+    got = collections.Counter()
+    for b in langid._count(iter([pa.RecordBatch.from_arrays([pa.array(["x"] * len(texts)), pa.array(texts)], ["lang", "text"])])):
+        got.update({r["code"].to_bytes(3, "big").lstrip(b"\0"): r["n"] for r in b.to_pylist()})
+    assert got == want and langid.normalised("हिन्दी".encode()).count(b" ") == 2
 
 
 # --- token files
@@ -408,9 +425,29 @@ def test_hosts_are_shrunk_and_joined_back(spark):
     got = {r.id: r for r in quality.judge(d).collect()}
     assert got[1].kept and not got[0].kept
     assert not got[1010].kept and got[1010].host_bad and not got[1010].base_failed
+    assert got[1010].host_rate > 0.8 and not got[1].host_bad and not got[2000].host_bad
     assert got[2000].host_rate < 1 and got[2001].kept and got[2002].kept and got[2002].host_rate is None
 
 
+def test_host_verdicts_equal_their_sql(spark, tmp_path):
+    """On a table with a host that fails, hosts of few documents, and a null host; and where all hosts are alike."""
+    import duckdb
+
+    good, bad = " ".join(f"word{k}" for k in range(30)), "too short"
+    some = [(k, bad if k % 7 in (0, *range(1, 1 + 2 * (k % 3 == 1))) else good, ["a", "b", "c"][k % 3]) for k in range(300)]
+    some += [(300 + k, bad if k % 5 else good, "d") for k in range(60)] + [(400, bad, "e"), (401, good, None), (402, None, "f")]
+    alike = [(k, bad if k % 10 == 0 else good, ["a", "b"][k // 10 % 2]) for k in range(200)]
+    for rows, fails in ((some, 1), (alike, 0)):
+        documents = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        got = sorted((r.doc_id, r.base_failed, r.kept) for r in quality.report(documents).collect())
+        table = duckdb.connect()
+        documents = documents.toArrow()
+        table.register("documents", documents)
+        said = table.execute(f"SELECT doc_id, base_failed, kept FROM ({quality.REPORT_SQL})").fetchall()
+        assert got == sorted(said)
+        assert any(not b and not k for _, b, k in got) == bool(fails)
+
+
 def test_quality_empty(empty):
     assert quality.report(empty).count() == 0
 
@@ -499,10 +536,69 @@ def test_leaks(spark):
     mixed = "Anna bought 30 apples and 9 pears at the market for 81 euros. How many fruits did John buy in all on that day?"
     texts = [f"{FILL} {ITEMS[0][1]} {FILL}", f"{FILL}. {other}", f"{FILL}. {mixed}", FILL, f"{FILL} {ITEMS[1][1]} {FILL}", "too short", " ".join(ITEMS[0][1].split()[:15]) + " " + FILL, " ".join(ITEMS[0][1].split()[:9]) + " " + FILL]
     got = {(r.id, r.item): r for r in decontaminate.leaks(docs_of(spark, texts), bench).collect()}
-    assert set(got) == {(0, 1), (1, 1), (4, 2), (6, 1)}
+    assert set(got) == {(0, 1), (1, 1), (4, 2), (5, 3), (6, 1)}
     assert not got[0, 1].reworded and got[1, 1].reworded and got[0, 1].coverage == 1
 
 
+def plain_leaks(docs, items):
+    """All alignments of every text with every item."""
+
+    def windows(text, n, inner_first=False):
+        forms, ends = [], not inner_first
+        for w in text.split():
+            f = decontaminate.canonical(w)
+            forms.append(f[:2] if ends else f[2:4])
+            ends = f[4]
+        for k in range(len(forms) - n + 1):
+            part = forms[k : k + n]
+            slots = [f"{t}={v}" for t, v in part if v]
+            yield k, " ".join(t for t, _ in part), " ".join(slots) if 2 * len(slots) > n else "", slots
+
+    def line(text):
+        return [v if t.startswith("<") else t for _, _, t, v, _ in map(decontaminate.canonical, text.split())]
+
+    found = {}
+    for item, q in items:
+        n, size = min(8, len(q.split())), len(q.split())
+        if 0 < size < 5:
+            for i, t in docs:
+                if line(q) in [line(x) for x in t.split("\n")]:
+                    found[i, item] = (1, 1, False)
+            continue
+        mine = collections.defaultdict(list)
+        for k, template, values, slots in [*windows(q, n), *list(windows(q, n, True))[:1]]:
+            if (k, slots) not in mine[template, values]:
+                mine[template, values].append((k, slots))
+        of = size - n + 1
+        for i, t in docs:
+            runs = collections.defaultdict(lambda: (set(), set()))
+            for at, template, values, slots in windows(t, n):
+                for k, theirs in mine.get((template, values), ()):
+                    runs[at - k][0].add(k)
+                    runs[at - k][1].update(zip(theirs, slots))
+            for places, pairs in runs.values():
+                one = len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(pairs)
+                if one and len(places) >= min(6, of):
+                    best = (len(places), of, any(a != b for a, b in pairs))
+                    found[i, item] = max(found.get((i, item), best), best, key=lambda x: (x[0], not x[2]))
+    return found
+
+
+def test_leaks_equal_plain_python(spark, sample):
+    """The sample's texts and reworded items, items of few words, items that share their windows."""
+    rng = random.Random(8)
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    common = "Answer with one number only and say nothing else at all please"
+    bench += [(1000 + k, f"{common} {k} {'abcdefgh'[k]}pples") for k in range(8)] + [(1010, "What is love"), (1011, "Sum 3 and 4"), (1012, "If Tom has 3 feet and 12 inches of rope"), (1013, "Add 12 15 18 21 24 27 30 and 33 together now")]
+    texts = [r.text for r in sample.collect()]
+    swap = lambda t: re.sub(r"\d+", lambda m: str(rng.randint(1, 99)), t)
+    texts += [f"{FILL}. {swap(q)} {FILL}" for _, q in bench] + [f"{FILL}\n{q}\n{FILL}" for _, q in bench] + [f"{common} and more", "what is Love?\nsum 3 and 5", "Sum 3 and 4."]
+    docs = docs_of(spark, texts)
+    got = {(r.id, r.item): (r.n_windows, r.of, r.reworded) for r in decontaminate.leaks(docs, spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    want = plain_leaks(list(enumerate(texts)), bench)
+    assert got == want and sum(x[2] for x in want.values()) > 3 and {1010, 1011, 1012, 1013} <= {i for _, i in want}
+
+
 def test_leaks_find_every_whole_item(spark, sample):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     items = [(r.item_id, r.text) for r in bench.collect() if len(r.text.split()) >= 5]

@@ -8,7 +8,7 @@ import numpy as np
 
 import corpus_pipeline
 from slackframe.llm.common import tokenizer_file, written
-from tests.llm.test_operators import plain_links
+from tests.llm.test_operators import awkward, empty, plain_links  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,3 +45,17 @@ def test_stages(spark):
 def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns[:4] == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() > 50
+
+
+def test_stages_take_empty_and_awkward_tables(spark, awkward, empty):  # noqa: F811
+    """Each stage on a table without rows, and on one of nulls, repeated rows and columns of clashing names."""
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0, name
+        out = stage(spark, awkward, SF)
+        assert out.count() <= 2 * awkward.count() and (name == "token_files" or out.columns == awkward.columns), name
+
+
+def test_run_takes_an_empty_corpus(spark, empty, tmp_path):  # noqa: F811
+    empty.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
