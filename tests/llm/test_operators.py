@@ -318,10 +318,80 @@ def test_surrogates_stay_distinct(spark):
     assert not {r.text for r in got} & set(names + ips)
 
 
-def test_surrogates_collide_and_are_drawn_again(spark):
-    parts = spark.createDataFrame([("number", f"7{k:03d}") for k in range(60)] + [("mailbox", c) for c in "abcdefghijklmnopqrstuvwxyz"], "type string, canon string")
-    got = surrogates.assigned(parts, "k").collect()
-    assert len({r.surrogate for r in got}) == 86 == len(got) and not {r.surrogate for r in got} & {r.canon for r in got}
+def test_surrogates_keep_persons_apart_and_together(spark):
+    texts = [
+        "Mr. Smith saw Mr. SMITH, and Smith's dog knew Smith; Smithson did not",
+        "Mr Smith-Jones and Mr O'Brien met Mrs Jones, Jones said",
+        "Version 1.2.3.4 of order 1234-5678-9012-3456, v 10.0.0.1",
+        "Mr. Smith again, and Dr Zoltan Kovacs",
+    ]
+    got = [r.text for r in sorted(surrogates.replace_private(docs_of(spark, texts), "k").collect(), key=lambda r: r.id)]
+    m = re.fullmatch(r"Mr\. (\w+) saw Mr\. (\w+), and (\w+)'s dog knew (\w+); Smithson did not", got[0])
+    assert m and m[1].upper() == m[2] and m[1] == m[3] == m[4] != "Smith"
+    m = re.fullmatch(r"Mr (\w+-\w+) and Mr (\w'\w+) met Mrs (\w+), (\w+) said", got[1])
+    assert m and m[3] == m[4] != "Jones" and m[1] != "Smith-Jones" and m[2] != "O'Brien"
+    assert got[2] == texts[2]
+    assert got[3].split()[1].rstrip(",") == got[0].split()[1] and "Zoltan" not in got[3] and "Kovacs" not in got[3]
+
+
+def plain_permuted(value, alphabets, *keyed):
+    import hashlib
+
+    chars = list(value)
+    for r in range(surrogates.ROUNDS):
+        others = "".join(c for i, c in enumerate(chars) if i % 2 != r % 2)
+        d = hashlib.sha256("\u001f".join([*keyed, str(r), str(len(chars)), others]).encode()).hexdigest()
+        for i, c in enumerate(chars):
+            letters = next((x for x in alphabets if c in x), None)
+            if i % 2 == r % 2 and letters:
+                at = (4 * i + i // 16) % 61
+                chars[i] = letters[(letters.index(c) + int(d[at : at + 4], 16)) % len(letters)]
+    return "".join(chars)
+
+
+def test_surrogates_equal_plain_python(spark, sample):
+    """Mailboxes and domains of the sample's texts, drawn again where they are real."""
+    import regex
+
+    pattern = regex.compile(surrogates.ENTITY)
+    texts = {r.doc_id: r.text or "" for r in sample.collect()}
+    hits = {i: [m.group() for m in pattern.finditer(t)] for i, t in texts.items()}
+    mails = [h for x in hits.values() for h in x if regex.fullmatch(surrogates.PATTERNS[0][1], h)]
+    boxes, domains = {h.split("@")[0].lower() for h in mails}, {h.split("@")[1].lower() for h in mails}
+
+    def draw(values, step):
+        out, todo = {}, set(values)
+        for k in range(surrogates.DRAWS):
+            new = {x: y for x in todo if (y := step(x, f"replace this key/{k}")) not in values and y not in out.values()}
+            todo -= new.keys()
+            out |= new
+        assert not todo and len(set(out.values())) == len(values)
+        return out
+
+    box = draw(boxes, lambda x, key: plain_permuted(x, surrogates.PLAIN, key, "mailbox"))
+    host = draw(domains, lambda x, key: plain_permuted(x.rpartition(".")[0], surrogates.PLAIN, key, "domain", "", "." + x.rpartition(".")[2]) + "." + x.rpartition(".")[2])
+    got = {r.doc_id: r for r in surrogates.report(sample).collect()}
+    assert len(mails) > 2
+    for i, t in texts.items():
+        assert got[i].n_entities <= len(hits[i]) and (hits[i] or got[i].text == t)
+        for h in hits[i]:
+            if h in mails:
+                b, d = h.lower().split("@")
+                assert h not in got[i].text and f"{box[b]}@{host[d]}" in got[i].text
+
+
+def test_surrogates_of_crowded_spaces(spark):
+    """One to one and never real where most values of a length are real, and longer ones where all are."""
+    rng = random.Random(1)
+    phones = rng.sample([f"7{k:03d}" for k in range(1000)], 990)
+    parts = [("phone", x) for x in phones] + [("mailbox", c) for c in "abcdefghijklmnopqrstuvwxyz"] + [("mailbox", "zz1")]
+    got = [tuple(r) for r in surrogates.assigned(spark.createDataFrame(parts, "type string, canon string"), "k").collect()]
+    assert sorted((t, c) for t, c, _ in got) == sorted(parts) and len({(t, s) for t, _, s in got}) == len(parts)
+    assert not {(t, s) for t, _, s in got} & set(parts)
+    assert 5 <= sum(len(s) == 4 for t, _, s in got if t == "phone") <= 10
+    few = [("phone", x) for x in rng.sample([f"7{k:03d}" for k in range(1000)], 300)]
+    got = surrogates.assigned(spark.createDataFrame(few, "type string, canon string"), "k").collect()
+    assert len({r.surrogate for r in got}) == 300 and sum(len(r.surrogate) == 4 for r in got) > 290
 
 
 def test_surrogates_awkward(awkward, empty):
