@@ -65,3 +65,25 @@ def unit(*parts: Column) -> Column:
 def exponential(u: Column, rate: float) -> Column:
     """An exponential draw of a rate from a uniform one."""
     return -F.ln(1 - u) / rate
+
+
+def key_mix(*parts: Column) -> Column:
+    """60 well mixed bits of a key, the same in any engine: the head of a digest of its parts."""
+    return F.conv(F.substring(F.md5(F.concat_ws(",", *[p.cast("string") for p in parts])), 1, 15), 16, 10).cast("long")
+
+
+def normal(u: Column, v: Column) -> Column:
+    """A standard normal draw from two uniform ones."""
+    return F.sqrt(-2 * F.ln(1 - u)) * F.cos(2 * F.pi() * v)
+
+
+def gamma_half(halves: int, draw) -> Column:
+    """A gamma draw of shape halves / 2 from uniform draws draw(0), draw(1) ...: exponentials, and half the square of a normal one if halves is odd."""
+    parts = [exponential(draw(k), 1.0) for k in range(halves // 2)]
+    if halves % 2:
+        n = normal(draw(halves // 2), draw(halves // 2 + 1))
+        parts.append(n * n / 2)
+    total = parts[0]
+    for p in parts[1:]:
+        total = total + p
+    return total

@@ -6,9 +6,11 @@ the virtual clock that an access belongs to. CLOCK rows carry no key and are lef
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slackframe.operators.order import numbered
+
 KEY = ["tab", "rid"]
 
 
@@ -91,9 +93,8 @@ def find_rows(asked: DataFrame, placement: DataFrame) -> DataFrame:
 
 def dense_ids(keys: DataFrame) -> DataFrame:
     """(tab, rid, machine, channel) -> place of each key in its channel's cache, and in its server's part of the log."""
-    cache = Window.partitionBy("channel").orderBy(*KEY)
-    oplog = Window.partitionBy("channel", "machine").orderBy(*KEY)
-    return keys.select("*", (F.row_number().over(cache) - 1).alias("cache_id"), (F.row_number().over(oplog) - 1).alias("oplog_id"))
+    made = numbered(keys, KEY, cache_id=["channel"], oplog_id=["channel", "machine"])
+    return made.withColumns({c: F.col(c).cast("int") for c in ("cache_id", "oplog_id")})
 
 
 def row_counts(placement: DataFrame, machine: int) -> DataFrame:
@@ -104,9 +105,9 @@ def thread_cached(ops: DataFrame, threshold: float = 0.1) -> DataFrame:
     """Keys worth a thread's own cache: its share of the thread's accesses times the threads that access it."""
     a = accesses(ops)
     per = a.groupBy("client", "thread", *KEY).agg(F.count("*").alias("n"))
-    total = Window.partitionBy("client", "thread")
+    total = per.groupBy("client", "thread").agg(F.sum("n").alias("total"))  # a row for each thread
     threads = a.groupBy("client", *KEY).agg(F.count_distinct("thread").alias("n_threads"))
-    scored = per.withColumn("total", F.sum("n").over(total)).join(threads, ["client", *KEY])
+    scored = per.join(total, ["client", "thread"]).join(threads, ["client", *KEY])
     scored = scored.withColumn("score", F.col("n") / F.col("total") * F.col("n_threads"))
     return scored.where(F.col("score") >= threshold).select("client", "thread", *KEY, "n", "n_threads", "score")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from slackframe.operators.access import by_thread
 from slackframe.operators.log import CELL, coalesce_updates, progress, push_updates
+from slackframe.operators.order import numbered
 from slackframe.storage import written
 
 
@@ -22,16 +23,15 @@ def iterate(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], clock
 
 
 def history(updates: DataFrame, clocks: int) -> DataFrame:
-    """State after each clock: a superstep adds a clock's coalesced updates to the last state."""
-    sums = written(coalesce_updates(updates, "clock").where(F.col("clock") < clocks), "log")
-    state, out = None, None
-    for clock in range(clocks):
-        now = sums.where(F.col("clock") == clock).drop("clock")
-        state = now if state is None else coalesce_updates(state.unionByName(now))
-        state = written(state, "state")
-        row = state.withColumn("clock", F.lit(clock))
-        out = row if out is None else out.unionByName(row)
-    return out.select("clock", *CELL, "value")
+    """State after each clock: what a cell's coalesced updates add up to so far, from its first update on.
+
+    A running sum in one shuffle; a sum stands until the cell's next update.
+    """
+    sums = coalesce_updates(updates, "clock").where(F.col("clock") < clocks)
+    cell = Window.partitionBy(*CELL).orderBy("clock")
+    until = F.coalesce(F.lead("clock").over(cell), F.lit(clocks)) - 1
+    state = sums.select("clock", *CELL, F.sum("value").over(cell.rowsBetween(Window.unboundedPreceding, 0)).alias("value"), until.alias("until"))
+    return state.select(F.explode(F.sequence(F.col("clock").cast("int"), F.col("until").cast("int"))).alias("clock"), *CELL, "value")
 
 
 def local_rows(updates: DataFrame) -> DataFrame:
@@ -56,8 +56,8 @@ def straggler_time(reports: DataFrame) -> DataFrame:
 
 def sampled(ops: DataFrame, every: int = 1000) -> DataFrame:
     """Every so manieth operation of a thread, beginning with the first; those are timed."""
-    nth = F.row_number().over(Window.partitionBy("client", "thread").orderBy("seq"))
-    return ops.withColumn("nth", nth).where((F.col("nth") - 1) % every == 0).select("client", "thread", "seq", "nth")
+    made = numbered(ops.select("client", "thread", "seq"), ["client", "thread", "seq"], nth=["client", "thread"])
+    return made.where(F.col("nth") % every == 0).select("client", "thread", "seq", (F.col("nth") + 1).cast("int").alias("nth"))
 
 
 def client_stats(ops: DataFrame) -> DataFrame:

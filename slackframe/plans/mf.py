@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slackframe.functions.special import dot
+from slackframe.functions.special import dot, normal, unit
 from slackframe.storage import map_arrow
 
 LAMBDA = 0.01
@@ -22,8 +22,9 @@ def fixed_factors(ids: DataFrame, key: str, rank: int, a: int, b: int) -> DataFr
 
 
 def random_factors(ids: DataFrame, key: str, rank: int, seed: int) -> DataFrame:
-    """(key, vec) with entries from N(0, 0.1)."""
-    return ids.select(key, F.array(*[F.randn(seed + k) * 0.1 for k in range(rank)]).alias("vec"))
+    """(key, vec) with entries from N(0, 0.1), drawn from the id and the seed, so that reruns and retried tasks agree."""
+    draw = lambda k: normal(unit(F.col(key), F.lit(seed + 2 * k)), unit(F.col(key), F.lit(seed + 2 * k + 1)))
+    return ids.select(key, F.array(*[draw(k) * 0.1 for k in range(rank)]).alias("vec"))
 
 
 def shapes(ratings: DataFrame) -> DataFrame:

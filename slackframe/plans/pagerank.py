@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slackframe.plans.loop import iterate
-from slackframe.storage import written
+from slackframe.storage import dealt, written
 
 DAMPING = 0.85
 
@@ -32,10 +32,10 @@ def contributions(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING)
 def rank(edges: DataFrame, iterations: int, damping: float = DAMPING) -> DataFrame:
     """(node, degree, init, rank) after so many supersteps. The mass of nodes without edges out is dropped.
 
-    Equal edges are kept as one with a count, so the per-superstep join and shuffle move distinct
-    edges only.
+    Equal edges are kept as one with a count, in buckets by source, so that a superstep moves ranks
+    and contributions but no edge.
     """
-    folded = written(edges.groupBy("src", "dst").agg(F.count("*").alias("m")), "edges")
+    folded = dealt(edges.groupBy("src", "dst").agg(F.count("*").alias("m")), "src", "edges")
     nodes = written(initial(edges, damping), "nodes")
 
     def step(state, _clock):
@@ -47,16 +47,19 @@ def rank(edges: DataFrame, iterations: int, damping: float = DAMPING) -> DataFra
 
 
 def rank_by_deltas(edges: DataFrame, iterations: int, damping: float = DAMPING) -> DataFrame:
-    """The same by sending over each edge only the change since its last contribution."""
-    nodes = written(initial(edges, damping), "nodes")
-    links = written(edges.groupBy("src", "dst").agg(F.count("*").alias("m")).withColumn("sent", F.lit(0.0)), "edges")
+    """The same by sending over each edge only the change since its last contribution.
+
+    All edges of a node last carried the same, so the node remembers it and the edges stay as they are.
+    """
+    nodes = written(initial(edges, damping).withColumn("sent", F.lit(0.0)), "nodes")
+    links = dealt(edges.groupBy("src", "dst").agg(F.count("*").alias("m")), "src", "edges")
+    now = F.when(F.col("degree") > 0, damping * F.col("rank") / F.col("degree")).otherwise(0.0)
     for _ in range(iterations):
-        now = nodes.where("degree > 0").select(F.col("node").alias("src"), (damping * F.col("rank") / F.col("degree")).alias("now"))
-        both = written(links.join(now, "src").select("src", "dst", "m", "now", (F.col("now") - F.col("sent")).alias("delta")), "deltas")
-        got = both.groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("delta") * F.col("m")).alias("got"))
-        nodes = written(nodes.join(got, "node", "left").select("node", "degree", "init", (F.col("rank") + F.coalesce("got", F.lit(0.0))).alias("rank")), "nodes")
-        links = both.select("src", "dst", "m", F.col("now").alias("sent"))
-    return nodes
+        change = nodes.where("degree > 0").select(F.col("node").alias("src"), (now - F.col("sent")).alias("delta"))
+        got = links.join(change, "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("delta") * F.col("m")).alias("got"))
+        rank = F.col("rank") + F.coalesce("got", F.lit(0.0))
+        nodes = written(nodes.join(got, "node", "left").select("node", "degree", "init", rank.alias("rank"), now.alias("sent")), "nodes")
+    return nodes.drop("sent")
 
 
 def accesses(edges: DataFrame, client, thread, vclock=None) -> DataFrame:

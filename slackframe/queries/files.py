@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from slackframe.operators.log import coalesce_updates
-from slackframe.queries.roles import FEATURES, PART_EDGES, RATINGS, TOKENS, UPDATES, VECTORS, VOCABULARY, long_form, part_edges, ratings, table, tokens, updates, vectors
+from slackframe.queries.roles import FEATURES, PART_EDGES, RATINGS, TOKENS, UPDATES, VECTORS, long_form, part_edges, ratings, table, tokens, updates, vectors, vocabulary_size
 from slackframe.sources import binary, text
 from slackframe.storage import fresh_path
 from slackframe.streaming import clock
@@ -35,7 +35,7 @@ def sc01(spark, sf):
 def sc02(spark, sf):
     t, folder = tokens(spark, sf), fresh_path(spark, "corpus")
     docs = table(spark, sf, "documents").count()
-    binary.save_corpus(t.select(F.floor(F.col("doc") / 300).alias("part"), "doc", "pos", "word"), folder, docs, VOCABULARY)
+    binary.save_corpus(t.select(F.floor(F.col("doc") / 300).alias("part"), "doc", "pos", "word"), folder, docs, vocabulary_size(spark, sf))
     return binary.corpus(spark, folder).select("doc", "pos", "word")
 
 
@@ -54,9 +54,12 @@ def sc04(spark, sf):
     return text.edge_list(spark, folder)
 
 
-@query("sc04_part", f"WITH {PART_EDGES} SELECT src, dst FROM edges WHERE src BETWEEN 50 AND 99")
+@query("sc04_part", f"""WITH {PART_EDGES}, g AS (SELECT greatest(max(src), max(dst)) + 1 AS n FROM edges),
+  w AS (SELECT w::INT AS worker, (n // 4) * w + least(w, n % 4) AS low, n // 4 + (w < n % 4)::INT AS size FROM g, range(4) t(w))
+  SELECT worker, src, dst FROM edges JOIN w ON src BETWEEN low AND low + size - 1""")
 def sc04_part(spark, sf):
-    return text.worker_part(part_edges(spark, sf), 200, 4, 1)
+    e = part_edges(spark, sf)
+    return text.worker_parts(e, e.agg(F.greatest(F.max("src"), F.max("dst"))).first()[0] + 1, 4)
 
 
 @query("sc05", f"WITH {PART_EDGES} SELECT DISTINCT src, dst FROM edges")
@@ -74,6 +77,26 @@ def sc06(spark, sf):
     return long_form(binary.examples(spark, folder, FEATURES).select("label", F.col("x").cast("array<double>").alias("x")), "x")
 
 
+@query("sc07", f"""WITH {VECTORS}, o AS (SELECT *, row_number() OVER (PARTITION BY id % 3 ORDER BY id) AS nth FROM vectors)
+  SELECT label, unnest(range(0, 64))::INT AS k, unnest(list_transform(x, lambda v: round(v, 6))) AS v FROM o WHERE nth <= 40""")
+def sc07(spark, sf):
+    """A copy of the first 40 examples of each file."""
+    whole, some = fresh_path(spark, "examples"), fresh_path(spark, "subset")
+    binary.save_examples(vectors(spark, sf).select((F.col("id") % 3).alias("part"), "id", "label", "x"), whole, FEATURES)
+    binary.copy_examples(spark, whole, some, FEATURES, 40)
+    return long_form(binary.examples(spark, some, FEATURES).select("label", F.col("x").cast("array<double>").alias("x")), "x")
+
+
+@query("sc11", "SELECT 'machines' AS name, '2' AS value UNION ALL SELECT 'slack', '3' UNION ALL SELECT 'update_func', 'adagrad' UNION ALL SELECT 'hosts', 'a b'")
+def sc11(spark, sf):
+    """Settings from a config file and the command line, and the hosts of a host file."""
+    folder = fresh_path(spark, "config")
+    spark.createDataFrame([("machines = 2",), ("# a comment",), ("slack=1",)], "value string").coalesce(1).write.text(folder)
+    o = text.Options.read([r.value for r in spark.read.text(folder).collect()], ["--slack=3", "--update_func=adagrad"])
+    rows = [("machines", str(o.machines)), ("slack", str(o.slack)), ("update_func", o.update_func), ("hosts", " ".join(text.hosts(["a", "", " b "])))]
+    return spark.createDataFrame(rows, "name string, value string")
+
+
 @query("sc08", f"WITH {VECTORS} SELECT label, unnest(range(0, 64))::INT AS k, unnest(list_transform(x, lambda v: CASE WHEN v > 0 THEN round(v, 6) ELSE 0 END)) AS v FROM vectors")
 def sc08(spark, sf):
     folder = fresh_path(spark, "sparse")
@@ -100,6 +123,16 @@ def sc12(spark, sf):
     return got.select("rid", F.round(F.col("vec")[0], 6).alias("value"))
 
 
+@query("sc12_binary", f"WITH {UPDATES} SELECT (rid % 2)::INT AS shard, (rid % 3)::INT AS channel, tab, rid, round(sum(value)::FLOAT::DOUBLE, 3) AS value FROM updates GROUP BY ALL")
+def sc12_binary(spark, sf):
+    """A snapshot in the packed binary layout, written and read back."""
+    folder = fresh_path(spark, "snapshot")
+    rows = updates(spark, sf).groupBy("tab", "rid").agg(F.array(F.sum("value")).alias("vec"))
+    binary.save_snapshots(rows.withColumn("part", (F.col("rid") % 2 * 1000 + F.col("rid") % 3).cast("int")), folder, 7, 1)
+    got = binary.snapshots(spark, folder, 1).where("clock = 7")
+    return got.select("shard", "channel", "tab", "rid", F.round(F.col("vec")[0].cast("double"), 3).alias("value"))
+
+
 @query("sc13", f"WITH {UPDATES} SELECT clock AS iter, count(*)::DOUBLE AS seconds FROM updates GROUP BY clock")
 def sc13(spark, sf):
     folder = fresh_path(spark, "walltime")

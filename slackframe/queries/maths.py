@@ -143,31 +143,28 @@ def rn02(spark, sf):
     return table(spark, sf, "events").select("event_id", F.round(sp.exponential(sp.unit(F.col("event_id"), F.col("user_id")), 2.5), 6).alias("e"))
 
 
-def _gamma(shape: float, seed: int):
-    import pandas as pd
+def _normal_sql(u: str, v: str) -> str:
+    return f"sqrt(-2 * ln(1 - {u})) * cos(2 * pi() * {v})"
 
-    def draw(ids):
-        import numpy as np
 
-        return pd.Series([np.random.default_rng([seed, int(i)]).gamma(shape) for i in ids])
-
-    draw.__annotations__ = {"ids": pd.Series, "return": pd.Series}
-    return F.pandas_udf(draw, "double")
+@query("rn02_gamma", f"SELECT vec_id, round(-ln(1 - {unit_sql('vec_id', '0')}) + pow({_normal_sql(unit_sql('vec_id', '1'), unit_sql('vec_id', '2'))}, 2) / 2, 6) AS g FROM embeddings")
+def rn02_gamma(spark, sf):
+    """Gamma draws of shape 1.5 keyed by id, so that reruns agree."""
+    g = sp.gamma_half(3, lambda k: sp.unit(F.col("vec_id"), F.lit(k)))
+    return table(spark, sf, "embeddings").select("vec_id", F.round(g, 6).alias("g"))
 
 
-@query("rn02_gamma")
-def rn02_gamma(spark, sf):
-    """Gamma draws keyed by id, so that reruns agree."""
-    return table(spark, sf, "embeddings").select("vec_id", _gamma(1.5, 3)("vec_id").alias("g"))
+_HALF = "[" + ", ".join(f"pow({_normal_sql(unit_sql('vec_id', str(k)), unit_sql('vec_id', str(k + 1)))}, 2) / 2" for k in (0, 2, 4, 6)) + "]"
 
 
-@query("rn03")
+@query("rn03", f"""WITH g AS (SELECT vec_id, {_HALF} AS g FROM embeddings)
+  SELECT vec_id, unnest(range(0, 4))::INT AS k, unnest(list_transform(g, lambda v: round(v / list_sum(g), 6))) AS p FROM g""")
 def rn03(spark, sf):
-    """Symmetric Dirichlet vectors: gamma draws over their sum."""
-    g = F.array(*[_gamma(0.5, s)("vec_id") for s in range(4)])
+    """Symmetric Dirichlet vectors of parameter 1/2: gamma draws over their sum."""
+    g = F.array(*[sp.gamma_half(1, lambda j, k=k: sp.unit(F.col("vec_id"), F.lit(k + j))) for k in (0, 2, 4, 6)])
     d = table(spark, sf, "embeddings").select("vec_id", g.alias("g"))
     total = F.aggregate("g", F.lit(0.0), lambda a, v: a + v)
-    return d.select("vec_id", F.transform("g", lambda v: v / total).alias("p"))
+    return d.select("vec_id", F.posexplode(F.transform("g", lambda v: F.round(v / total, 6))).alias("k", "p"))
 
 
 @query("rn04", f"WITH {VECTORS} SELECT id, unnest(range(0, 64))::INT AS k, unnest(list_transform(x, lambda v: round(exp(v - list_max(x)), 6))) AS v FROM vectors")
@@ -175,9 +172,16 @@ def rn04(spark, sf):
     return long_form(vectors(spark, sf).select("id", sp.relative_probabilities(F.col("x")).alias("p")), "p")
 
 
-@query("rn05")
+@query("rn05", f"SELECT vec_id, round(0.1 * {_normal_sql(unit_sql('vec_id', '5'), unit_sql('vec_id', '6'))}, 6) AS v FROM embeddings")
 def rn05(spark, sf):
-    return table(spark, sf, "embeddings").select("vec_id", (F.randn(7) * 0.1).alias("v"))
+    draw = lambda k: sp.unit(F.col("vec_id"), F.lit(k))
+    return table(spark, sf, "embeddings").select("vec_id", F.round(0.1 * sp.normal(draw(5), draw(6)), 6).alias("v"))
+
+
+@query("hs01", "SELECT ('0x' || md5(concat_ws(',', l_orderkey, l_linenumber))[1:15])::BIGINT % 64 AS bucket, count(*) AS n FROM lineitem GROUP BY ALL")
+def hs01(spark, sf):
+    """Rows of each bucket of a mixed key."""
+    return table(spark, sf, "lineitem").groupBy((sp.key_mix(F.col("l_orderkey"), F.col("l_linenumber")) % 64).alias("bucket")).agg(F.count("*").alias("n"))
 
 
 @query("lr02", f"""WITH {VECTORS}, {WEIGHTS} SELECT id, w.label AS of_label, round(list_dot_product(x, w::DOUBLE[]), 6) AS score

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from slackframe.functions.special import unit
 from slackframe.plans import evaluate, lda, mf, pagerank
 from slackframe.queries.roles import (
-    PART_EDGES, RATINGS, SUPPLY_EDGES, TOKENS, TOPICS, UPDATES, VOCABULARY, long_form, part_edges, ratings, supply_edges, tokens, unit_sql, updates,
+    PART_EDGES, RATINGS, SUPPLY_EDGES, TOKENS, TOPICS, UPDATES, long_form, part_edges, ratings, supply_edges, tokens, unit_sql, updates, vocabulary_size,
 )
 
 QUERIES: dict = {}
@@ -28,6 +28,8 @@ def rounded(df, *names, digits=6):
     return df.withColumns({n: F.round(n, digits) for n in names})
 
 
+#: Distinct words, in SQL.
+_V = "(SELECT count(*) FROM ranks)"
 _NODES = """ends AS (SELECT src AS node, 1 AS o FROM edges UNION ALL SELECT dst, 0 FROM edges),
  nodes AS (SELECT node, sum(o)::BIGINT AS degree, CASE WHEN sum(o) > 0 THEN 1 - 0.85::DOUBLE ELSE 0.0::DOUBLE END AS init FROM ends GROUP BY node),
  folded AS (SELECT src, dst, count(*) AS m FROM edges GROUP BY ALL)"""
@@ -110,9 +112,10 @@ def mf01(spark, sf):
     return long_form(left, "vec")
 
 
-@query("mf01_random")
+@query("mf01_random", f"""WITH {RATINGS} SELECT DISTINCT j, k::INT AS k,
+  round(0.1 * sqrt(-2 * ln(1 - {unit_sql('j', '5 + 2 * k')})) * cos(2 * pi() * {unit_sql('j', '6 + 2 * k')}), 6) AS v FROM ratings, range({RANK}) t(k)""")
 def mf01_random(spark, sf):
-    return mf.random_factors(ratings(spark, sf).select("j").distinct(), "j", RANK, 5)
+    return long_form(mf.random_factors(ratings(spark, sf).select("j").distinct(), "j", RANK, 5), "vec")
 
 
 @query("mf02", f"WITH {_PREDICTED} SELECT i, j, round(p, 6) AS p FROM p")
@@ -217,7 +220,7 @@ def ld02(spark, sf):
 
 _COUNTS = f"""{TOKENS}, zs AS (SELECT unnest(range(0, {TOPICS}))::INT AS z),
  th AS (SELECT doc, z, count(*) AS n FROM tokens GROUP BY ALL), be AS (SELECT word, z, count(*) AS n FROM tokens GROUP BY ALL), su AS (SELECT z, count(*) AS n FROM tokens GROUP BY ALL),
- phi AS (SELECT w.word, zs.z, (coalesce(be.n, 0) + {LAM}) / (coalesce(su.n, 0) + {VOCABULARY} * {LAM}) AS p FROM (SELECT DISTINCT word FROM tokens) w, zs
+ phi AS (SELECT w.word, zs.z, (coalesce(be.n, 0) + {LAM}) / (coalesce(su.n, 0) + {_V} * {LAM}) AS p FROM (SELECT DISTINCT word FROM tokens) w, zs
    LEFT JOIN be ON be.word = w.word AND be.z = zs.z LEFT JOIN su ON su.z = zs.z),
  theta AS (SELECT d.doc, zs.z, coalesce(th.n, 0) + {ALPHA} AS t FROM (SELECT DISTINCT doc FROM tokens) d, zs LEFT JOIN th ON th.doc = d.doc AND th.z = zs.z)"""
 
@@ -225,17 +228,18 @@ _COUNTS = f"""{TOKENS}, zs AS (SELECT unnest(range(0, {TOPICS}))::INT AS z),
 @query("ld03", f"WITH {_COUNTS} SELECT word, z AS k, round(p, 9) AS v FROM phi")
 def ld03(spark, sf):
     _, by_word, by_topic = lda.statistics(tokens(spark, sf), TOPICS)
-    phi = lda.word_given_topic(lda.dense(by_word, "word", TOPICS), lda.totals(by_topic, TOPICS), VOCABULARY, LAM)
+    phi = lda.word_given_topic(lda.dense(by_word, "word", TOPICS), lda.totals(by_topic, TOPICS), vocabulary_size(spark, sf), LAM)
     return long_form(phi, "p", 9)
 
 
 _POST = f"{_COUNTS}, po AS (SELECT k.doc, k.pos, k.word, k.z, theta.z AS t, theta.t * phi.p AS w FROM tokens k JOIN theta ON theta.doc = k.doc JOIN phi ON phi.word = k.word AND phi.z = theta.z)"
 
 
-@query("ld04", f"WITH {_POST} SELECT doc, pos, word, t AS k, round(w, 6) AS v FROM po")
+@query("ld04", f"WITH {_POST} SELECT word, t AS k, round(sum(w), 4) AS v, count(*) AS n FROM po GROUP BY ALL")
 def ld04(spark, sf):
-    rows = lda.posteriors(tokens(spark, sf), TOPICS, VOCABULARY, ALPHA, LAM)
-    return long_form(rows.select("doc", "pos", "word", "weights"), "weights")
+    rows = lda.posteriors(tokens(spark, sf), TOPICS, vocabulary_size(spark, sf), ALPHA, LAM)
+    each = rows.select("word", F.posexplode("weights").alias("k", "w"))
+    return each.groupBy("word", "k").agg(F.round(F.sum("w"), 4).alias("v"), F.count("*").alias("n"))
 
 
 _U = unit_sql("doc", "pos", "word + 1")
@@ -244,7 +248,7 @@ _DRAWN = f"""{_POST}, cu AS (SELECT *, sum(w) OVER (PARTITION BY doc, pos ORDER
 
 
 def _resampled(spark, sf):
-    return lda.resample(tokens(spark, sf), unit(F.col("doc"), F.col("pos"), F.col("word") + 1), TOPICS, VOCABULARY, ALPHA, LAM)
+    return lda.resample(tokens(spark, sf), unit(F.col("doc"), F.col("pos"), F.col("word") + 1), TOPICS, vocabulary_size(spark, sf), ALPHA, LAM)
 
 
 @query("ld05", f"WITH {_DRAWN} SELECT z, z_new, count(*) AS n FROM moved GROUP BY ALL")
@@ -264,26 +268,27 @@ def ld07(spark, sf):
     return _resampled(spark, sf).select("doc", "pos", "word", "z", "z_new")
 
 
-@query("ld08", f"WITH {_COUNTS} SELECT k.doc, k.pos, theta.z AS k, round(theta.t, 6) AS v FROM tokens k JOIN theta ON theta.doc = k.doc")
+@query("ld08", f"WITH {_COUNTS} SELECT k.doc, theta.z AS k, round(sum(theta.t), 4) AS v, count(*) AS n FROM tokens k JOIN theta ON theta.doc = k.doc GROUP BY ALL")
 def ld08(spark, sf):
-    rows = lda.posteriors(tokens(spark, sf), TOPICS, VOCABULARY, ALPHA, LAM, prior_only=True)
-    return long_form(rows.select("doc", "pos", "weights"), "weights")
+    rows = lda.posteriors(tokens(spark, sf), TOPICS, vocabulary_size(spark, sf), ALPHA, LAM, prior_only=True)
+    each = rows.select("doc", F.posexplode("weights").alias("k", "w"))
+    return each.groupBy("doc", "k").agg(F.round(F.sum("w"), 4).alias("v"), F.count("*").alias("n"))
 
 
-@query("ld09", f"""WITH {TOKENS}, k AS (SELECT (doc % 4)::INT AS client, 0::BIGINT AS tab, doc AS rid FROM tokens UNION ALL SELECT (doc % 4)::INT, 1, word FROM tokens UNION ALL SELECT (doc % 4)::INT, 1, {VOCABULARY} FROM tokens),
+@query("ld09", f"""WITH {TOKENS}, k AS (SELECT (doc % 4)::INT AS client, 0::BIGINT AS tab, doc AS rid FROM tokens UNION ALL SELECT (doc % 4)::INT, 1, word FROM tokens UNION ALL SELECT (doc % 4)::INT, 1, {_V} FROM tokens),
   o AS (SELECT *, unnest(['READ', 'WRITE']) AS op FROM k) SELECT client, op, tab, count(*) AS n, count(DISTINCT rid) AS n_rows FROM o GROUP BY ALL""")
 def ld09(spark, sf):
-    a = lda.accesses(tokens(spark, sf), (F.col("doc") % 4).cast("int"), F.lit(0), VOCABULARY)
+    a = lda.accesses(tokens(spark, sf), (F.col("doc") % 4).cast("int"), F.lit(0), vocabulary_size(spark, sf))
     return a.groupBy("client", "op", "tab").agg(F.count("*").alias("n"), F.count_distinct("rid").alias("n_rows"))
 
 
 @query("ev01", f"""WITH {TOKENS}, th AS (SELECT doc, z, count(*) AS n FROM tokens GROUP BY ALL), be AS (SELECT word, z, count(*) AS n FROM tokens GROUP BY ALL), su AS (SELECT z, count(*) AS n FROM tokens GROUP BY ALL),
   d AS (SELECT doc, sum(n) AS t, sum(lgamma(n + {ALPHA}) - lgamma({ALPHA})) AS p FROM th GROUP BY doc),
   parts AS (SELECT sum(lgamma({TOPICS} * {ALPHA}) - lgamma({TOPICS} * {ALPHA} + t) + p) AS v FROM d UNION ALL
-    SELECT sum(lgamma({VOCABULARY} * {LAM}) - lgamma({VOCABULARY} * {LAM} + n)) FROM su UNION ALL SELECT sum(lgamma(n + {LAM}) - lgamma({LAM})) FROM be)
+    SELECT sum(lgamma({_V} * {LAM}) - lgamma({_V} * {LAM} + n)) FROM su UNION ALL SELECT sum(lgamma(n + {LAM}) - lgamma({LAM})) FROM be)
   SELECT round(sum(v), 3) AS log_likelihood FROM parts""")
 def ev01(spark, sf):
-    ll = lda.log_likelihood(*lda.statistics(tokens(spark, sf), TOPICS), TOPICS, VOCABULARY, ALPHA, LAM)
+    ll = lda.log_likelihood(*lda.statistics(tokens(spark, sf), TOPICS), TOPICS, vocabulary_size(spark, sf), ALPHA, LAM)
     return rounded(ll, "log_likelihood", digits=3)
 
 

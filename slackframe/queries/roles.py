@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from slackframe.functions.special import unit
+from slackframe.operators.order import numbered
 
 def long_form(df: DataFrame, array: str, digits: int = 6) -> DataFrame:
     """An array of numbers as rows (..., k, v)."""
@@ -98,17 +99,19 @@ def words(spark, sf_dir) -> DataFrame:
     return d.select(F.col("doc_id").alias("doc"), F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("pos", "token"))
 
 
-VOCABULARY = 200
 TOPICS = 5
 
 
+def vocabulary_size(spark, sf_dir) -> int:
+    return words(spark, sf_dir).select("token").distinct().count()
+
+
 def tokens(spark, sf_dir) -> DataFrame:
-    """(doc, pos, word, z): tokens of the most frequent words, by their rank, with a first topic each."""
+    """(doc, pos, word, z): all tokens, words by their rank in frequency, with a first topic each."""
     w = words(spark, sf_dir)
-    top = w.groupBy("token").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "token").limit(VOCABULARY)
-    ranked = top.withColumn("word", F.row_number().over(Window.orderBy(F.col("n").desc(), "token")) - 1).select("token", "word")
+    ranked = numbered(w.groupBy("token").agg(F.count("*").alias("n")), [F.col("n").desc(), "token"], word=[]).select("token", F.col("word").cast("int").alias("word"))
     z = F.floor(unit(F.col("doc"), F.col("pos"), F.col("word")) * TOPICS).cast("int")
-    return w.join(F.broadcast(ranked), "token").select("doc", "pos", "word", z.alias("z"))  # VOCABULARY rows
+    return w.join(ranked, "token").select("doc", "pos", "word", z.alias("z"))
 
 
 def unit_sql(*parts: str) -> str:
@@ -121,7 +124,7 @@ def unit_sql(*parts: str) -> str:
 TOKENS = f"""spoken AS (SELECT doc_id AS doc, unnest(ts) AS token, unnest(range(0, len(ts))) AS pos
   FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS ts FROM documents)),
 ranks AS (SELECT token, (row_number() OVER (ORDER BY n DESC, token) - 1)::INT AS word FROM
-  (SELECT token, count(*) AS n FROM spoken GROUP BY token ORDER BY n DESC, token LIMIT {VOCABULARY})),
+  (SELECT token, count(*) AS n FROM spoken GROUP BY token)),
 tokens AS (SELECT doc, pos::INT AS pos, word, floor({unit_sql('doc', 'pos', 'word')} * {TOPICS})::INT AS z FROM spoken JOIN ranks USING (token))"""
 
 FEATURES = 64

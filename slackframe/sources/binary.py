@@ -118,6 +118,22 @@ def snapshots(spark: SparkSession, path: str, width: int) -> DataFrame:
     return map_arrow(_files(spark, path), _reader(parse), "clock int, shard int, channel int, tab long, rid long, vec array<float>")
 
 
+def save_snapshots(rows: DataFrame, folder: str, clock: int, width: int) -> list:
+    """(part = shard * 1000 + channel, tab, rid, vec) as the files that snapshots() reads."""
+    row = 24 + 4 * width
+    row += -row % 8
+    kind = np.dtype({"names": ["initted", "tab", "rid", "vec"], "formats": ["?", "<u8", "<u8", ("<f4", (width,))], "offsets": [0, 8, 16, 24], "itemsize": row})
+
+    def encode(part, t):
+        e = np.zeros(t.num_rows, kind)
+        e["initted"] = True
+        e["tab"], e["rid"] = t.column("tab").to_numpy(), t.column("rid").to_numpy()
+        e["vec"] = np.array(t.column("vec").to_pylist(), np.float32).reshape(-1, width)
+        return f"snapshot.{clock}.{part // 1000}.{part % 1000}", np.array([len(e)], "<u4").tobytes() + e.tobytes()
+
+    return _save(rows.select("part", "tab", "rid", "vec"), folder, encode, ["tab", "rid"])
+
+
 def duplicate_keys(rows: DataFrame) -> DataFrame:
     """Keys that several shards of a snapshot hold; a sound snapshot has none."""
     return rows.groupBy("clock", "tab", "rid").agg(F.count("*").alias("n")).where("n > 1")
@@ -226,3 +242,28 @@ def save_examples(rows: DataFrame, folder: str, features: int) -> list:
         return f"{part}.bin", e.tobytes()
 
     return _save(rows.select("part", "id", "label", "x"), folder, encode, ["id"])
+
+
+def copy_examples(spark: SparkSession, path: str, folder: str, features: int, count: int) -> list:
+    """The first so many examples of each file, as files of the same names and format."""
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        at = local_path(folder)
+        store, top = (fs.LocalFileSystem(), at) if at else fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                name, kept = file, data[: count * (4 + 4 * features)]
+                with store.open_output_stream(f"{top}/.{name}") as f:
+                    f.write(kept)
+                store.move(f"{top}/.{name}", f"{top}/{name}")
+                yield pa.RecordBatch.from_pydict({"name": [name], "size": pa.array([len(kept)], pa.int64())})
+
+    from pyarrow import fs
+
+    at = local_path(folder)
+    store, top = (fs.LocalFileSystem(), at) if at else fs.FileSystem.from_uri(folder)
+    store.create_dir(top, recursive=True)
+    return map_arrow(_files(spark, path), run, "name string, size long").collect()  # a row for each file

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slackframe.operators.order import numbered
+
 SPACES = r"\s+"
 
 
 def edge_list(spark: SparkSession, path: str) -> DataFrame:
-    """Lines `src dst`; lines that begin with # and blank lines are skipped."""
+    """Lines `src dst`; lines that begin with # and blank lines are skipped, any other line is an error."""
     lines = spark.read.text(path).select(F.trim("value").alias("line")).where("line != '' and not startswith(line, '#')")
     parts = F.split("line", SPACES)
-    return lines.select(F.try_element_at(parts, F.lit(1)).try_cast("long").alias("src"), F.try_element_at(parts, F.lit(2)).try_cast("long").alias("dst")).where("src is not null and dst is not null")
+    node = lambda k: F.coalesce(F.try_element_at(parts, F.lit(k)).try_cast("long"), F.raise_error(F.concat(F.lit("not an edge: "), "line")).cast("long"))
+    return lines.select(node(1).alias("src"), node(2).alias("dst"))
 
 
 def edge_list_header(spark: SparkSession, path: str) -> DataFrame:
@@ -32,11 +35,12 @@ def adjacency_list(spark: SparkSession, path: str) -> DataFrame:
     return lines.where(F.size("p") > 2).select(F.get("p", F.lit(0)).cast("long").alias("src"), F.explode(targets.cast("array<long>")).alias("dst"))
 
 
-def worker_part(edges: DataFrame, nodes: int, workers: int, worker: int) -> DataFrame:
-    """Edges whose source lies in a worker's contiguous part of the node numbers."""
+def worker_parts(edges: DataFrame, nodes: int, workers: int) -> DataFrame:
+    """Edges with the worker in whose contiguous part of the node numbers (from 0) the source lies."""
     div, rest = divmod(nodes, workers)
-    low = div * worker + min(worker, rest)
-    return edges.where(F.col("src").between(low, low + div + (worker < rest) - 1))
+    large = rest * (div + 1)  # nodes of the parts that have one more
+    worker = F.when(F.col("src") < large, F.floor(F.col("src") / (div + 1))).otherwise(rest + F.floor((F.col("src") - large) / max(div, 1)))
+    return edges.select(worker.cast("int").alias("worker"), "src", "dst")
 
 
 def sparse_examples(spark: SparkSession, path: str, features: int, feature_one_based: bool = False, label_one_based: bool = False) -> DataFrame:
@@ -72,13 +76,7 @@ def relabelled(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     holds all nodes.
     """
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    dealt = nodes.repartitionByRange("node").withColumn("part", F.spark_partition_id())
-    from slackframe.storage import written
-
-    dealt = written(dealt, "nodes")
-    sizes = dealt.groupBy("part").agg(F.count("*").alias("n"))
-    offsets = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # a row for each partition
-    numbers = dealt.join(F.broadcast(offsets), "part").select("node", (F.col("base") + F.row_number().over(Window.partitionBy("part").orderBy("node")) - 1).alias("number"))
+    numbers = numbered(nodes, ["node"], number=[])
     src = numbers.select(F.col("node").alias("src"), F.col("number").alias("new_src"))
     dst = numbers.select(F.col("node").alias("dst"), F.col("number").alias("new_dst"))
     return edges.join(src, "src").join(dst, "dst").select(F.col("new_src").alias("src"), F.col("new_dst").alias("dst")), numbers

@@ -49,6 +49,15 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, key: str, tag: str) -> DataFrame:
+    """df written in buckets by key in the shared folder: joins on key need no shuffle of it."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, tag)
+    name = f"slackframe_{path.rsplit('/', 1)[1].replace('-', '_')}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(parts, key).write.bucketBy(parts, key).sortBy(key).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def local_path(uri: str) -> str | None:
     """The path of a file: URI, or None for other stores."""
     if uri.startswith("file:"):
