@@ -235,7 +235,7 @@ def ld03(spark, sf):
 _POST = f"{_COUNTS}, po AS (SELECT k.doc, k.pos, k.word, k.z, theta.z AS t, theta.t * phi.p AS w FROM tokens k JOIN theta ON theta.doc = k.doc JOIN phi ON phi.word = k.word AND phi.z = theta.z)"
 
 
-@query("ld04", f"WITH {_POST} SELECT word, t AS k, round(sum(w), 4) AS v, count(*) AS n FROM po GROUP BY ALL")
+@query("ld04", f"WITH {_POST} SELECT word, t AS k, round(sum(w)::DOUBLE, 4) AS v, count(*) AS n FROM po GROUP BY ALL")
 def ld04(spark, sf):
     rows = lda.posteriors(tokens(spark, sf), TOPICS, vocabulary_size(spark, sf), ALPHA, LAM)
     each = rows.select("word", F.posexplode("weights").alias("k", "w"))
@@ -268,7 +268,7 @@ def ld07(spark, sf):
     return _resampled(spark, sf).select("doc", "pos", "word", "z", "z_new")
 
 
-@query("ld08", f"WITH {_COUNTS} SELECT k.doc, theta.z AS k, round(sum(theta.t), 4) AS v, count(*) AS n FROM tokens k JOIN theta ON theta.doc = k.doc GROUP BY ALL")
+@query("ld08", f"WITH {_COUNTS} SELECT k.doc, theta.z AS k, round(sum(theta.t)::DOUBLE, 4) AS v, count(*) AS n FROM tokens k JOIN theta ON theta.doc = k.doc GROUP BY ALL")
 def ld08(spark, sf):
     rows = lda.posteriors(tokens(spark, sf), TOPICS, vocabulary_size(spark, sf), ALPHA, LAM, prior_only=True)
     each = rows.select("doc", F.posexplode("weights").alias("k", "w"))
