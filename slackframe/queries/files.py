@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from slackframe.operators.log import coalesce_updates
 from slackframe.queries.roles import FEATURES, PART_EDGES, RATINGS, TOKENS, UPDATES, VECTORS, long_form, part_edges, ratings, table, tokens, updates, vectors, vocabulary_size
 from slackframe.sources import binary, text
-from slackframe.storage import fresh_path
+from slackframe.storage import fresh_path, written
 from slackframe.streaming import clock
 
 QUERIES: dict = {}
@@ -26,8 +26,9 @@ def query(name: str, sql: str | None = None):
 
 @query("sc01", f"WITH {RATINGS} SELECT (i % 3)::INT AS worker, i::INT AS i, j::INT AS j, round(x::FLOAT::DOUBLE, 6) AS val FROM ratings")
 def sc01(spark, sf):
-    x, folder = ratings(spark, sf), fresh_path(spark, "ratings")
-    binary.save_ratings(x.select((F.col("i") % 3).alias("part"), "i", "j", F.col("x").alias("val")), folder, 1 << 20, 1 << 20)
+    x, folder = written(ratings(spark, sf), "rated"), fresh_path(spark, "ratings")
+    n, m = x.agg(*[F.coalesce(F.max(c) + 1, F.lit(0)) for c in ("i", "j")]).first()
+    binary.save_ratings(x.select((F.col("i") % 3).alias("part"), "i", "j", F.col("x").alias("val")), folder, n, m)
     return binary.ratings(spark, folder).select("worker", "i", "j", F.round(F.col("val").cast("double"), 6).alias("val"))
 
 

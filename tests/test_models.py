@@ -193,6 +193,33 @@ def test_binary_sources(spark, tmp_path):
     assert binary.duplicate_keys(binary.snapshots(spark, str(tmp_path / "snap"), 3)).count() == 0
 
 
+def test_ratings_in_pieces(spark, tmp_path, monkeypatch):
+    r = spark.range(100).select((F.col("id") % 3).alias("part"), (F.col("id") * 30_000).alias("i"), F.col("id").alias("j"), F.lit(0.5).alias("val"))
+    binary.save_ratings(r.where("part < 2"), str(tmp_path / "mf"), 3_000_000, 100)
+    np.array([3_000_000, 100, 0, 0], "<i4").tofile(str(tmp_path / "mf" / "2"))
+    head = np.fromfile(str(tmp_path / "mf" / "0"), "<i4", 4).tolist()
+    assert head == [3_000_000, 100, 67, 34]
+    for seekable in (True, False):
+        monkeypatch.setattr(binary, "_seekable", lambda path, s=seekable: s)
+        got = {(x.worker, x.i, x.j) for x in binary.ratings(spark, str(tmp_path / "mf"), 7).collect()}
+        assert got == {(k % 3, k * 30_000, k) for k in range(100) if k % 3 < 2}
+        assert binary.ratings(spark, str(tmp_path / "mf"), 7).count() == 67
+    (tmp_path / "short").mkdir()
+    np.array([5, 5, 9, 9, 0, 0, 0], "<i4").tofile(str(tmp_path / "short" / "0"))
+    with pytest.raises(Exception, match="fewer than 9"):
+        binary.ratings(spark, str(tmp_path / "short")).collect()
+
+
+def test_ratings_of_large_ids(spark, tmp_path):
+    """Ids of 2^20 and more, as in the tables at 60 times sf0.1."""
+    from slackframe.queries import files
+
+    spark.createDataFrame([(1, 1 << 20), (2, 7)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(1, 5, 25.0), (2, 1_200_000, 50.0)], "l_orderkey long, l_partkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {tuple(r) for r in files.sc01(spark, str(tmp_path)).collect()}
+    assert got == {((1 << 20) % 3, 1 << 20, 5, 0.5), (1, 7, 1_200_000, 1.0)}
+
+
 def test_stream_of_clocks(spark, tmp_path):
     rows = [(0, 0, 0, 0, 0, 1.0), (0, 0, 0, 0, 0, 2.0), (1, 0, 0, 1, 0, 4.0)]
     d = spark.createDataFrame(rows, "client int, thread int, tab long, rid long, cid int, value double")
