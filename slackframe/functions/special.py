@@ -5,18 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Coefficients of the six-term Lanczos series.
-LANCZOS = (76.18009172947146, -86.50532032941677, 24.01409824083091, -1.231739572450155, 0.1208650973866179e-2, -0.5395239384953e-5)
-LANCZOS_ONE = 1.000000000190015
-ROOT_TWO_PI = 2.5066282746310005
+#: Coefficients of Stirling's series in odd powers of 1 / x, and its constant; from SHIFT on they give double precision.
+STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360_360, 1 / 156)
+HALF_LN_TWO_PI = 0.9189385332046727
+SHIFT = 10
+# Fixed value.
 CUTOFF = 1e-15
 
 
 def ln_gamma(x: Column) -> Column:
-    series = F.lit(LANCZOS_ONE)
-    for j, a in enumerate(LANCZOS):
-        series = series + F.lit(a) / (x + (j + 1))
-    return (x + 0.5) * F.ln(x + 5.5) - (x + 5.5) + F.ln(F.lit(ROOT_TWO_PI) * series / x)
+    """ln |gamma(x)| in double precision: infinite at 0 and at negative whole numbers, by reflection between those."""
+    y = F.when(x < 0, 1 - x).otherwise(x)
+    z = F.when(y < SHIFT, y + SHIFT).otherwise(y)
+    series, passed = F.lit(STIRLING[-1]), y
+    for a in STIRLING[-2::-1]:
+        series = series / (z * z) + a
+    for k in range(1, SHIFT):
+        passed = passed * (y + k)
+    g = (z - 0.5) * (F.ln(z) - 1) + (HALF_LN_TWO_PI - 0.5 + series / z) - F.when(y < SHIFT, F.ln(passed)).otherwise(0.0)
+    reflected = F.ln(F.pi() / F.abs(F.sin(F.pi() * (x % 2)))) - g
+    return F.when((x <= 0) & (x % 1 == 0), F.lit(float("inf"))).when(x < 0, reflected).otherwise(g)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -133,6 +133,18 @@ def test_approximations(spark, x):
     assert abs(row.g - math.lgamma(x)) < 1e-8 * (1 + abs(math.lgamma(x)))
 
 
+@pytest.mark.parametrize("x", [0.0, -0.0, -1.0, -6.0, -0.5, -2.3, -170.5, 1e-300, 0.001, 1.0, 2.0, 9.99, 10.0, 4_321.5, 5.6e4, None])
+def test_log_gamma(spark, x):
+    """Double precision, and no error at the poles."""
+    got = spark.range(1).select(sp.ln_gamma(F.lit(x).cast("double"))).first()[0]
+    if x is None:
+        assert got is None
+    elif x <= 0 and x % 1 == 0:
+        assert got == math.inf
+    else:
+        assert abs(got - math.lgamma(x)) < 1e-13 * (1 + abs(math.lgamma(x)))
+
+
 @pytest.mark.parametrize("p", [-20.0, -1.5, -0.2, 0.0, 0.7, 3.3, 20.0])
 def test_powers(spark, p):
     a, b, c = spark.range(1).select(fm.fastpow2(F.lit(p)), fm.fastexp(F.lit(p)), fm.fasterpow2(F.lit(p))).first()
