@@ -22,6 +22,11 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x if isinstance(x, Column) else F.lit(float(x))
 
 
+def over(a: Column, b: Column) -> Column:
+    """a / b of doubles where b may be 0: infinite there with the sign that floating point has, and NaN for 0 / 0."""
+    return F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(a / b)
+
+
 def _split(x: Column) -> tuple[Column, Column]:
     """Biased position 127 + e + (m - 1) on the float number line, and m / 2, for x = m * 2^e."""
     e = F.floor(F.log2(x)).cast("double")
@@ -125,10 +130,10 @@ def fasterlgamma(x) -> Column:
 def fastdigamma(x) -> Column:
     x = _c(x)
     up = 2 + x
-    return (-48 - 157 * x - 127 * x * x - 30 * x * x * x) / (12 * x * (1 + x) * up * up) + fastlog(up)
+    return over(-48 - 157 * x - 127 * x * x - 30 * x * x * x, 12 * x * (1 + x) * up * up) + fastlog(up)
 
 
 def fasterdigamma(x) -> Column:
     x = _c(x)
     up = 1 + x
-    return -1 / x - 1 / (2 * up) + fasterlog(up)
+    return over(F.lit(-1.0), x) - over(F.lit(1.0), 2 * up) + fasterlog(up)

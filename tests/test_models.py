@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -145,6 +146,20 @@ def test_log_gamma(spark, x):
         assert abs(got - math.lgamma(x)) < 1e-13 * (1 + abs(math.lgamma(x)))
 
 
+@pytest.mark.parametrize("x", [0.0, -0.0, -1.0, 0.25, None])
+def test_digamma_at_poles(spark, x):
+    """Infinite as in floating point (and in the SQL), and no error."""
+    from slackframe.queries.maths import ORACLE
+
+    a, b = spark.range(1).select(*[f(F.lit(x).cast("double")) for f in (fm.fastdigamma, fm.fasterdigamma)]).first()
+    want = duckdb.sql(f"WITH pts AS (SELECT 1 AS id, {'NULL' if x is None else repr(x)}::DOUBLE AS x) {ORACLE['ma09'][ORACLE['ma09'].index('SELECT id,'):]}").fetchall()[0][1:]
+    for got, v in zip((a, b), want):
+        if v is None or math.isnan(v):
+            assert got is None or math.isnan(got)
+        else:
+            assert round(got, 4) == v if math.isfinite(v) else got == v
+
+
 @pytest.mark.parametrize("p", [-20.0, -1.5, -0.2, 0.0, 0.7, 3.3, 20.0])
 def test_powers(spark, p):
     a, b, c = spark.range(1).select(fm.fastpow2(F.lit(p)), fm.fastexp(F.lit(p)), fm.fasterpow2(F.lit(p))).first()
