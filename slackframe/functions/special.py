@@ -75,6 +75,19 @@ def exponential(u: Column, rate: float) -> Column:
     return -F.ln(1 - u) / rate
 
 
+def sum_apart(v: Column) -> Column:
+    """A sum of doubles that doesn't depend on their order: whole parts, exact below 2^53, and the rest apart."""
+    rest = F.nanvl(v % 1.0, F.lit(0.0))
+    return F.sum(v - rest) + F.sum(rest)
+
+
+def number_text(x: Column) -> Column:
+    """A double of up to 6 decimals as the SQL writes it: in full from 1e-4 to 1e16, beyond that with an exponent such as 1e-05 or 1.5e+16."""
+    full = F.regexp_replace(x.cast("decimal(38,6)").cast("string"), r"(\.\d+?)0+$", "$1")
+    power = F.regexp_replace(F.regexp_replace(F.lower(x.cast("string")), r"e(\d)", "e+$1"), r"(?<=e[+-])(?=\d$)", "0")
+    return F.when((F.abs(x) < 1e16) & ((F.abs(x) >= 1e-4) | (x == 0)), full).otherwise(F.regexp_replace(power, r"\.0e", "e"))
+
+
 def key_mix(*parts: Column) -> Column:
     """60 well mixed bits of a key, the same in any engine: the head of a digest of its parts."""
     return F.conv(F.substring(F.md5(F.concat_ws(",", *[p.cast("string") for p in parts])), 1, 15), 16, 10).cast("long")

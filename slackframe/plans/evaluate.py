@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from slackframe.functions.special import number_text
+
 
 def squared_error(ranks: DataFrame, truth: DataFrame) -> DataFrame:
     """(node, degree, rank) against a truth of the same form: sum of squares, -1 if any degree differs."""
@@ -23,9 +25,10 @@ def combined(*shards: DataFrame) -> DataFrame:
 
 
 def quality_over_time(walltimes: DataFrame, metrics: DataFrame) -> DataFrame:
-    """(iter, seconds) with (iter, metric) as JSON lines."""
+    """(iter, seconds) with (iter, metric) as JSON lines; numbers are written out, and a line without one of them is null."""
     j = walltimes.join(metrics, "iter")
-    return j.select("iter", F.to_json(F.struct("iter", F.round("seconds", 3).alias("seconds"), F.round("metric", 6).alias("metric"))).alias("line"))
+    parts = ('{"iter":', F.col("iter").cast("string"), ',"seconds":', number_text(F.round("seconds", 3)), ',"metric":', number_text(F.round("metric", 6)), "}")
+    return j.select("iter", F.concat(*[F.lit(p) for p in parts]).alias("line"))
 
 
 def crossings(series: DataFrame, target: str = "target") -> DataFrame:

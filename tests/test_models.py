@@ -172,6 +172,33 @@ def test_crossing(spark):
     assert got[1] == 0.5 and math.isnan(got[2])
 
 
+def test_numbers_as_the_sql_writes_them(spark):
+    xs = [0.0, 1e-6, 1e-5, 9.9e-5, 1e-4, 0.001, 0.5, 100.0, 1e7, 10051890.6498, -3.25e9, 9_999_999_999_999_998.0, 1e16, 1.5e16, 1.2345678901234568e17, 1e200, None]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(xs)), "k int, x double").orderBy("k").select(sp.number_text(F.col("x"))).collect()]
+    assert got == [r[0] for r in duckdb.execute("SELECT unnest(?::DOUBLE[])::VARCHAR", [xs]).fetchall()]
+
+
+def test_sums_apart(spark):
+    """Whole parts are exact, so a sum of many rows has all its six decimals."""
+    rows = spark.range(0, 300_000, 1, 3).select(sp.sum_apart(F.lit(6.0025) * F.lit(6.0025)).alias("s"))
+    assert round(rows.first().s, 6) == round(300_000 * 6.0025 * 6.0025, 6)
+    odd = spark.createDataFrame([(float("inf"),), (-2.5,), (None,)], "v double")
+    assert odd.agg(sp.sum_apart(F.col("v"))).first()[0] == math.inf
+    assert odd.where("v < 0 or v is null").agg(sp.sum_apart(F.col("v"))).first()[0] == -2.5
+
+
+def test_quality_of_large_sums(spark, tmp_path):
+    """Metrics of 1e7 and more, as at 60 times sf0.1, a tiny one, and a clock that the SQL leaves out."""
+    from slackframe.queries import models
+
+    rows = [(0, "2024-01-01 00:00:00", 1, 5.0), (1, "2024-01-02 00:00:00.0015", 1, 40_000.0), (2, "2024-01-02 00:00:01", 2, 0.5), (3, "2024-01-03 00:00:00", 3, 0.01), (4, "2024-05-01 00:00:00", 3, 1.0)]
+    spark.createDataFrame(rows, "event_id long, t string, user_id long, value double").selectExpr("event_id", "t::timestamp_ntz AS ts", "user_id", "value").write.parquet(str(tmp_path / "events.parquet"))
+    duckdb.sql(f"CREATE OR REPLACE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in models.ev06(spark, str(tmp_path)).collect())
+    assert got == sorted(duckdb.sql(models.ORACLE["ev06"]).fetchall())
+    assert got == [(1, '{"iter":1,"seconds":86401.0,"metric":16000000.0025}'), (2, '{"iter":2,"seconds":172800.0,"metric":1e-06}')]
+
+
 def test_relabelling(spark):
     edges, numbers = text.relabelled(spark.createDataFrame([(10, 30), (30, 20)], "src long, dst long"))
     assert sorted(map(tuple, edges.collect())) == [(0, 2), (2, 1)]
