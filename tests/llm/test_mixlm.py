@@ -275,3 +275,40 @@ def test_scores_awkward(awkward, empty, spark):  # noqa: F811
     assert mixlm.report(empty).count() == 0
     alone = mixlm.score(docs_of(spark, ["some text"]), F.lit(False)).collect()
     assert alone[0].n_known == 0 and alone[0].train_tokens == 0 and math.isfinite(alone[0].score)
+
+
+def test_weights_are_learned_of_all_training_texts_and_words(spark, monkeypatch):
+    """More texts and words than the samples of 4,000 and 200,000 that once taught the weights."""
+    seen, summed = [], spelling.summed
+    monkeypatch.setattr(spelling, "summed", lambda *a: seen.append(summed(*a)) or seen[-1])
+    texts = [" ".join(f"w{45 * i + k}" for k in range(45)) for i in range(6_000)]
+    rows = spark.createDataFrame([(i, i, True, t) for i, t in enumerate(texts)], "id long, key long, train boolean, text string")
+    mixlm.fit(rows)
+    assert sorted(n for _, n in seen) == [6_000 * 45, 6_000 * 46]
+
+
+def test_learning_takes_out_all_of_a_text(monkeypatch):
+    rng = np.random.default_rng(3)
+    code, bits, n = wordbits.Code(np.array([40, 9, 7, 3, 2, 1])), 22, 400
+    starts = np.array([0, 1, 150, 151, 320, n])
+    symbols, doc = rng.integers(0, 6, n), np.searchsorted(starts, np.arange(n), "right") - 1
+    ctx = wordbits.contexts(rng.integers(1, 12, n).astype(np.uint64) * ODD, np.arange(n) - starts[doc])
+    flat = np.zeros(2 * wordbits.HASHED << bits, np.uint32)
+    wordbits.add_counts(flat, code, symbols, ctx, bits)
+    mixer = wordbits.Mixer(code, wordbits.node_counts(code, np.ones(6)), slots.states(flat), bits, wordbits.starting_weights(), None)
+    of, node, bit, slot = wordbits.decisions(code, symbols, ctx, bits)
+    for k in range(wordbits.HASHED):
+        got = mixer._others(slot[k], bit, code.length[symbols], ctx[k], doc)
+        for i, s in enumerate(slot[k]):
+            mine = (slot[k] == s) & (doc[of] == doc[of[i]])
+            for counts, b, shift in ((slots.ZEROS, 0, 0), (slots.ONES, 1, slots.BITS)):
+                had = int(mixer.table[s]) >> shift & slots.MOST
+                assert counts[got[i]] == (had if had == slots.MOST else max(had - int((bit[mine] == b).sum()), 0))
+    hits = []
+    for size in (20_000, 100):
+        monkeypatch.setattr(wordbits, "LEARN_SLICE", size)
+        hit, one = np.zeros((2, wordbits.GATES, wordbits.BUCKETS))
+        mixer.weights = wordbits.starting_weights()
+        mixer.learn(symbols, ctx, np.ones(n, bool), starts, hit, one)
+        hits.append((hit.sum(), one.sum()))
+    assert hits[0] == hits[1] == (len(bit), bit.sum())
