@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from slackframe.llm import decontaminate, jaccard, langid, linededup, mixing, pieces, quality, surrogates, tokenfiles
+from slackframe.llm import common, decontaminate, jaccard, langid, linededup, mixing, pieces, quality, surrogates, tokenfiles
 from slackframe.llm.common import tokenizer_file
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -700,3 +700,56 @@ def test_leaks_awkward(awkward, empty, spark):
     assert decontaminate.leaks(empty, bench).count() == 0
     assert decontaminate.leaks(awkward, bench.limit(0)).count() == 0
     assert Row is not None
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """10,000 long rows, which Spark would give to Python as one batch, come in batches of some bytes; no row is lost."""
+    from slackframe.storage import BATCH_BYTES
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pylist([{"rows": b.num_rows, "bytes": b.nbytes}])
+
+    rows = spark.range(10_000, numPartitions=1).select(F.repeat(F.lit("word "), 1000).alias("text"))
+    seen = common.map_arrow(rows, sizes, "rows long, bytes long").collect()
+    assert sum(r.rows for r in seen) == 10_000 and max(r.bytes for r in seen) < 1.5 * BATCH_BYTES
+
+
+def test_caches_of_other_operators_return_their_memory(monkeypatch):
+    given, mine, other = [], {1: 2}, {3: 4}
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    monkeypatch.setattr(common, "_remembered", [])
+    common.alone(other)
+    common.alone(other)
+    assert other and not given
+    common.alone(mine)
+    assert mine and not other and given == [1]
+
+
+def shuffled(spark) -> set[str]:
+    """The shuffle files of a local session."""
+    import glob
+
+    top = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {x for d in top for x in glob.glob(f"{d}/**/shuffle_*.data", recursive=True)}
+
+
+def without_new_files(spark, before, most: int = 0) -> bool:
+    """Whether the files beside those of before go, but for those of so many shuffles; Spark deletes them a moment later."""
+    import time
+
+    for _ in range(50):
+        if len({x.rsplit("/", 1)[1].split("_")[1] for x in shuffled(spark) - before}) <= most:
+            return True
+        time.sleep(0.2)
+    return False
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    spark.sparkContext._jvm.System.gc()
+    before, kept = shuffled(spark), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    out = common.written(spark.range(10_000).repartition(3, "id"), "few")
+    assert without_new_files(spark, before) and out.count() == 10_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == kept
