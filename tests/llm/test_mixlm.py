@@ -14,7 +14,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from slackframe.llm import mixlm, slots, spelling, wordbits
-from tests.llm.test_operators import awkward, docs_of, empty, sample  # noqa: F401
+from slackframe.llm.common import map_arrow
+from tests.llm.test_operators import awkward, docs_of, empty, sample, shuffled, without_new_files  # noqa: F401
 
 FULL = (1 << 64) - 1
 MIX, ODD = int(mixlm._MIX), int(mixlm._ODD)
@@ -312,3 +313,16 @@ def test_learning_takes_out_all_of_a_text(monkeypatch):
         mixer.learn(symbols, ctx, np.ones(n, bool), starts, hit, one)
         hits.append((hit.sum(), one.sum()))
     assert hits[0] == hits[1] == (len(bit), bit.sum())
+
+
+def test_counts_and_weights_leave_no_shuffle_files(spark):
+    """What tasks counted and learned, and the texts they read, are gone before the next pass."""
+    spark.sparkContext._jvm.System.gc()
+    before = shuffled(spark)
+    rows = map_arrow(spark.range(4, numPartitions=1), lambda b: slots.emitted(np.ones(8, np.uint32), 0), slots.ROWS)
+    assert (slots.gathered(rows, 4) == 1 + (1 << slots.BITS)).all()
+    assert without_new_files(spark, before)
+    learned = spark.range(4).repartition(2, "id").select(F.lit(3).cast("long").alias("n"), F.array(F.lit(0.5)).alias("sums"))
+    sums, seen = spelling.summed(learned, 1)
+    assert sums[0] == 2 and seen == 12
+    assert without_new_files(spark, before, 1)  # the sums' own grouping may stay
