@@ -5,10 +5,12 @@ from __future__ import annotations
 import collections
 import itertools
 import math
+import pickle
 import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -326,3 +328,25 @@ def test_counts_and_weights_leave_no_shuffle_files(spark):
     sums, seen = spelling.summed(learned, 1)
     assert sums[0] == 2 and seen == 12
     assert without_new_files(spark, before, 1)  # the sums' own grouping may stay
+
+
+def test_words_are_hashed_at_once(monkeypatch):
+    """As xxhash does it, word by word; words of up to 16 bytes take no call each, and a lexicon knows its words by hash."""
+    rng, calls, one = random.Random(6), [], xxhash.xxh3_64_intdigest
+    some = [rng.randbytes(n).translate(bytes.maketrans(bytes(range(33)) + b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"a" * 59)).replace(b"\xff", b"y") for n in range(1, 41) for _ in range(50)]
+    lexicon = pickle.loads(pickle.dumps(mixlm.Lexicon(sorted({*some[::2]}))))
+    monkeypatch.setattr(xxhash, "xxh3_64_intdigest", lambda w: calls.append(w) or one(w))
+    lines = [b" ".join(some[:300]), b"", None, b" \t", b"\n".join(some[300:])]
+    raw = pa.array(lines, pa.binary()).buffers()
+    texts = mixlm.Texts(lexicon, pa.StringArray.from_buffers(len(lines), *raw[1:], raw[0]))
+    assert texts.h[texts.word].tolist() == [one(w) for w in some] and all(len(w) > 16 for w in calls)
+    assert (~texts.word).sum() == 5 and (texts.symbol[~texts.word] == lexicon.end).all() and (texts.h[~texts.word] == mixlm.END_HASH).all()
+    known = {w: i for i, w in enumerate(sorted({*some[::2]}))}
+    assert texts.symbol[texts.word].tolist() == [known.get(w, lexicon.other) for w in some]
+
+
+def test_tasks_get_a_code_as_its_tree():
+    code = wordbits.Code(np.arange(3, 3000))
+    sent = pickle.dumps(code)
+    again = pickle.loads(sent)
+    assert len(sent) < 12 * 3000 and all((getattr(code, k) == getattr(again, k)).all() for k in ("nodes", "bits", "start", "length", "path"))
