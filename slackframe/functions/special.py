@@ -88,6 +88,14 @@ def number_text(x: Column) -> Column:
     return F.when((F.abs(x) < 1e16) & ((F.abs(x) >= 1e-4) | (x == 0)), full).otherwise(F.regexp_replace(power, r"\.0e", "e"))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x rounded as the SQL does: its multiple of 10^digits in floating point to a whole number, halves away from zero, and back; -0.0 stays."""
+    y = x * 10.0**digits
+    whole = F.rint(y)
+    away = F.when((y > 0) & (y - whole == 0.5), whole + 1).when((y < 0) & (y - whole == -0.5), whole - 1).otherwise(whole)
+    return F.when(F.abs(y) == float("inf"), x).otherwise(away / 10.0**digits)
+
+
 def key_mix(*parts: Column) -> Column:
     """60 well mixed bits of a key, the same in any engine: the head of a digest of its parts."""
     return F.conv(F.substring(F.md5(F.concat_ws(",", *[p.cast("string") for p in parts])), 1, 15), 16, 10).cast("long")

@@ -124,7 +124,7 @@ _install()
 
 @query("ev02", f"WITH {_P} SELECT id, round(lgamma(x), 6) AS g FROM pts")
 def ev02(spark, sf):
-    return _points(spark, sf).select("id", F.round(sp.ln_gamma(F.col("x")), 6).alias("g"))
+    return _points(spark, sf).select("id", sp.ln_gamma(F.col("x")).alias("g")).select("id", sp.rounded(F.col("g"), 6).alias("g"))
 
 
 @query("st06", "SELECT o_orderkey, pow(2, ceil(log2(o_orderkey + 1)))::BIGINT AS n FROM orders")
