@@ -88,7 +88,8 @@ def _pair(name, columns, sqls):
     sql = f"WITH {_P} SELECT id, " + ", ".join(f"round({s}, 4) AS {c}" for c, s in sqls.items()) + " FROM pts"
 
     def run(spark, sf):
-        return _points(spark, sf).select("id", *[F.round(f(), 4).alias(c) for c, f in columns.items()])
+        values = _points(spark, sf).select("id", *[f().alias(c) for c, f in columns.items()])
+        return values.select("id", *[sp.rounded(F.col(c), 4).alias(c) for c in columns])
 
     QUERIES[name], ORACLE[name] = run, sql
 

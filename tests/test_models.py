@@ -202,6 +202,16 @@ def test_log_gamma_of_large_numbers(spark, tmp_path):
     assert [repr(r) for r in got] == [repr(r) for r in sorted(duckdb.sql(maths.ORACLE["ev02"]).fetchall())]
 
 
+def test_digamma_keeps_the_sign_of_zero(spark, tmp_path):
+    """A small negative number rounds to -0.0; 0 is a pole."""
+    from slackframe.queries import maths
+
+    sf = events(spark, tmp_path, [(0, 145.54), (1, 0.0), (2, 560.21), (3, 4_717.3), (5, 146.16)])
+    got = sorted(tuple(r) for r in maths.QUERIES["ma09"](spark, sf).collect())
+    assert repr(got[0][2]) == "-0.0"
+    assert [repr(r) for r in got] == [repr(r) for r in sorted(duckdb.sql(maths.ORACLE["ma09"]).fetchall())]
+
+
 def test_sums_apart(spark):
     """Whole parts are exact, so a sum of many rows has all its six decimals."""
     rows = spark.range(0, 300_000, 1, 3).select(sp.sum_apart(F.lit(6.0025) * F.lit(6.0025)).alias("s"))
